@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "instructset") -> SparkSession:
@@ -42,6 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for the few functions that run in Python."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="instructset-")) / root.name
+        archive = shutil.make_archive(str(base), "zip", root.parent, root.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from the written table.
 
