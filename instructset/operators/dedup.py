@@ -43,16 +43,17 @@ def held_out(
 
     Copies of a used text under other ids are excluded with it. ``max_used`` states how
     many rows ``used`` can have (a sum of sample sizes); a small bound saves the
-    shuffle of ``df``. Null texts are never used.
+    shuffle of ``df``. ``digest_col`` names a digest that both tables have already. Null
+    texts are never used.
     """
-    if digest_col is None:
-        left, digests = df.withColumn("_digest", text_digest(F.col(text_col))), used_texts(used, text_col)
+    key = digest_col or "_digest"
+    if digest_col:
+        rows, digests = df, used.select(key).distinct()
     else:
-        left = df.withColumn("_digest", F.col(digest_col))
-        digests = used.select(F.col(digest_col).alias("_digest")).distinct()
+        rows, digests = df.withColumn(key, text_digest(F.col(text_col))), used_texts(used, text_col)
     if max_used is not None and max_used <= BROADCAST_DIGESTS:
         digests = F.broadcast(digests)
-    return left.join(digests, "_digest", "left_anti").drop("_digest")
+    return rows.join(digests, key, "left_anti").select(*df.columns)
 
 
 def overlap(first: DataFrame, second: DataFrame, text_col: str = "output") -> DataFrame:

@@ -94,8 +94,8 @@ def _(t):
     "early_stop",
     f"""WITH kept AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS kept_no
             FROM documents WHERE lang = 'en'),
-        stop AS (SELECT min(doc_id) AS at FROM kept WHERE doc_id > 60 AND kept_no >= 50)
-        SELECT doc_id, text FROM kept, stop WHERE at IS NULL OR doc_id <= at""",
+        stop AS (SELECT min(doc_id) AS last FROM kept WHERE doc_id > 60 AND kept_no >= 50)
+        SELECT doc_id, text FROM kept, stop WHERE last IS NULL OR doc_id <= last""",
 )
 def _(t):
     return sel.early_stop(
@@ -299,7 +299,7 @@ def _(t):
 @query(
     "evidence_join",
     f"""WITH {EVIDENCE}, pooled AS (
-        SELECT ASIN, question, string_agg(candidate, {NL} ORDER BY source_rank, pos) AS context
+        SELECT ASIN, question, string_agg(candidate, {NL} ORDER BY source_rank, pos, candidate) AS context
         FROM evidence WHERE candidate IS NOT NULL GROUP BY 1, 2)
         SELECT ASIN, question, context, answer FROM answers JOIN pooled USING (ASIN, question)""",
 )
@@ -314,7 +314,7 @@ def _(t):
 @query(
     "question_answer_build",
     f"""WITH {EVIDENCE}, pooled AS (
-        SELECT ASIN, question, string_agg(candidate, {NL} ORDER BY source_rank, pos) AS context
+        SELECT ASIN, question, string_agg(candidate, {NL} ORDER BY source_rank, pos, candidate) AS context
         FROM evidence WHERE candidate IS NOT NULL GROUP BY 1, 2)
         SELECT split, {sql_fill(P.QUESTION_PROMPT + chr(10) + "Question: %s" + chr(10) + "Context: %s", "question", "context")} AS input,
             answer AS output FROM answers JOIN pooled USING (ASIN, question)""",
@@ -373,10 +373,10 @@ def _(t):
 
 
 ENCODED = f"""{VOCABULARY}, spread AS (
-        SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS at
+        SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS place
         FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS toks FROM documents)),
     encoded AS (
-        SELECT doc_id, list(token_id ORDER BY at) AS ids FROM spread JOIN vocabulary USING (token)
+        SELECT doc_id, list(token_id ORDER BY place) AS ids FROM spread JOIN vocabulary USING (token)
         GROUP BY doc_id
         UNION ALL SELECT doc_id, []::BIGINT[] FROM documents
             WHERE len(regexp_extract_all(text, '{TOKEN}')) = 0)"""
@@ -549,25 +549,25 @@ for _name, _kind in (("top4_reviews", "verdict"), ("top4_positive", "pros"), ("t
 
 LABELED = f"""{RECOGNIZED}, found AS (
         SELECT doc_id,
-            list_transform(regexp_extract_all(output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS true,
+            list_transform(regexp_extract_all(output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS gold,
             list_transform(regexp_extract_all(model_output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS pred
         FROM recognized),
-    labeled AS (SELECT doc_id, true, CASE WHEN len(pred) = len(true) THEN pred
-            ELSE list_transform(true, lambda x: 'O') END AS pred FROM found)"""
+    labeled AS (SELECT doc_id, gold, CASE WHEN len(pred) = len(gold) THEN pred
+            ELSE list_transform(gold, lambda x: 'O') END AS pred FROM found)"""
 
 
 def _spans_sql(side: str) -> str:
-    return f"""{side}_rows AS (SELECT doc_id, unnest({side}) AS l, unnest(range(0, len({side}))) AS at FROM labeled),
-    {side}_typed AS (SELECT doc_id, at, l[1] AS t, CASE WHEN l <> 'O' THEN l[3:] END AS y FROM {side}_rows),
+    return f"""{side}_rows AS (SELECT doc_id, unnest({side}) AS l, unnest(range(0, len({side}))) AS place FROM labeled),
+    {side}_typed AS (SELECT doc_id, place, l[1] AS t, CASE WHEN l <> 'O' THEN l[3:] END AS y FROM {side}_rows),
     {side}_before AS (SELECT *, coalesce(lag(t) OVER w, 'O') AS pt, lag(y) OVER w AS py FROM {side}_typed
-        WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+        WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
     {side}_starts AS (SELECT *, (t = 'B' OR (t = 'I' AND (pt = 'O' OR y IS DISTINCT FROM py)))::INT AS s FROM {side}_before),
-    {side}_groups AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY at) AS g FROM {side}_starts),
-    {side}_spans AS (SELECT doc_id, y AS type, min(at)::BIGINT AS begin, max(at)::BIGINT AS "end" FROM {side}_groups
+    {side}_groups AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY place) AS g FROM {side}_starts),
+    {side}_spans AS (SELECT doc_id, y AS type, min(place)::BIGINT AS begin, max(place)::BIGINT AS "end" FROM {side}_groups
         WHERE t <> 'O' GROUP BY doc_id, g, y)"""
 
 
-@query("bio_spans", f'WITH {LABELED}, {_spans_sql("true")} SELECT doc_id, type, begin, "end" FROM true_spans')
+@query("bio_spans", f'WITH {LABELED}, {_spans_sql("gold")} SELECT doc_id, type, begin, "end" FROM gold_spans')
 def _(t):
     labeled = scoring.label_pairs(recognized(t))
     return labeled.select("doc_id", F.inline(entity_spans(F.col("true_labels")))).select(
@@ -577,11 +577,11 @@ def _(t):
 
 @query(
     "ner_report",
-    f"""WITH {LABELED}, {_spans_sql("true")}, {_spans_sql("pred")},
+    f"""WITH {LABELED}, {_spans_sql("gold")}, {_spans_sql("pred")},
     counts AS (SELECT type, sum(hit) AS hit, sum(predicted) AS predicted, sum(support) AS support FROM (
         SELECT coalesce(a.type, b.type) AS type, (a.type IS NOT NULL AND b.type IS NOT NULL)::INT AS hit,
             (b.type IS NOT NULL)::INT AS predicted, (a.type IS NOT NULL)::INT AS support
-        FROM true_spans a FULL JOIN pred_spans b
+        FROM gold_spans a FULL JOIN pred_spans b
             ON a.doc_id = b.doc_id AND a.type = b.type AND a.begin = b.begin AND a."end" = b."end") GROUP BY 1),
     rates AS (SELECT type, hit, predicted, support,
         coalesce(hit / nullif(predicted, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r,
