@@ -7,6 +7,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from instructset.functions.binding import bind
 from instructset.functions.text import strip
 
 # A Unicode noncharacter marks the places where markup stood.
@@ -84,14 +85,9 @@ def _resolve(piece: Column) -> Column:
     )
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` reads it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _resolve_all(text: Column) -> Column:
     pieces = F.split(text, "&")
-    return _bind(
+    return bind(
         pieces,
         lambda p: F.concat(
             F.get(p, F.lit(0)),
@@ -109,7 +105,7 @@ def unescape(text: Column) -> Column:
     plain = text
     for name in _FREQUENT[1:]:
         plain = F.replace(plain, F.lit(f"&{name};"), F.lit(html5[f"{name};"]))
-    decoded = _bind(
+    decoded = bind(
         plain,
         lambda t: F.when(F.regexp_like(t, F.lit("&(?!amp;)")), _resolve_all(t)).otherwise(
             F.replace(t, F.lit("&amp;"), F.lit("&"))
@@ -121,6 +117,6 @@ def unescape(text: Column) -> Column:
 def strip_html(html: Column) -> Column:
     """Visible text: markup, comments, scripts and styles removed, text nodes trimmed
     and joined by one space."""
-    nodes = F.split(_bind(F.regexp_replace(html, _MARKUP, _CUT), unescape), _CUT)
+    nodes = F.split(bind(F.regexp_replace(html, _MARKUP, _CUT), unescape), _CUT)
     kept = F.filter(F.transform(nodes, strip), lambda node: F.length(node) > 0)
     return F.array_join(kept, " ")

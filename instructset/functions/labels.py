@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from instructset.functions.text import WHITESPACE, strip
+from instructset.functions.binding import bind
+from instructset.functions.text import WHITESPACE
 
-# Fixed value: the pattern of one "token, label" tuple, with \w and \s written as
-# Unicode classes.
+# Fixed value: the pattern of one "token, label" tuple, with \\w and \\s written as
+# Unicode classes. Group 1 is the token, group 2 the label.
 _W = r"[\p{L}\p{N}_]"
 _S = rf"[{WHITESPACE}]"
-TUPLE = rf"{_W}+?,{_S}+[BI]-{_W}+|{_W}+?,{_S}+O"
+TUPLE = rf"({_W}+),{_S}+([BI]-{_W}+|O)"
+_TO_THE_END = (1 << 31) - 1
 
 
-def tagged_tuples(text: Column) -> Column:
-    """``array<struct<token, label>>`` of the tuples found in ``text``."""
+def tuple_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TUPLE), F.lit(1))
 
-    def halves(found: Column) -> Column:
-        comma = F.split(found, ",", 2)
-        return F.struct(
-            strip(F.get(comma, F.lit(0))).alias("token"),
-            strip(F.get(comma, F.lit(1))).alias("label"),
-        )
 
-    return F.transform(F.regexp_extract_all(text, F.lit(TUPLE), F.lit(0)), halves)
+def tuple_labels(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TUPLE), F.lit(2))
 
 
 def zip_tags(tokens: Column, tags: Column) -> Column:
@@ -46,43 +43,56 @@ def entity_spans(labels: Column, strict: bool = False) -> Column:
     ``I`` that continues nothing belongs to none.
     """
     size = F.size(labels)
-    before = F.concat(F.array(F.lit("O")), F.slice(labels, 1, F.greatest(size - 1, F.lit(0))))
 
-    def kind(label: Column) -> Column:
-        return F.substring(label, 3, 1 << 30)
+    def placed(label: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), label.alias("label"))
 
-    def mark(label: Column, previous: Column) -> Column:
-        fresh = (previous == "O") | (kind(previous) != kind(label))
-        begins = label.startswith("B") | (label.startswith("I") & fresh)
-        return F.struct(
-            ((label == "O") | begins).alias("edge"),
-            F.when(label.startswith("B") if strict else begins, kind(label)).alias("type"),
-        )
+    # Most labels are O and leave at once; what follows sees only the others.
+    inside = F.filter(F.transform(labels, placed), lambda e: e["label"] != "O")
 
-    # Positions where something ends or starts, closed by the end of the sequence; the
-    # extent of an entity is the gap to the next such position.
-    edges = F.array_compact(
-        F.transform(
-            F.zip_with(labels, before, mark),
-            lambda m, i: F.when(m["edge"], F.struct(i.alias("at"), m["type"].alias("type"))),
+    def split(found: Column) -> Column:
+        """Entities from ``found``, the labels that are not O, with their places."""
+        count = F.size(found)
+        before = F.concat(
+            F.array(F.struct(F.lit(-2).alias("at"), F.lit("O").alias("label"))),
+            F.slice(found, 1, F.greatest(count - 1, F.lit(0))),
         )
-    )
-    nexts = F.concat(
-        F.transform(F.slice(edges, 2, F.greatest(F.size(edges), F.lit(1))), lambda e: e["at"]),
-        F.array(size),
-    )
-    return F.array_compact(
-        F.zip_with(
-            edges,
-            nexts,
-            lambda e, n: F.when(
-                e["type"].isNotNull() & n.isNotNull(),
-                F.struct(
-                    e["type"].alias("type"), e["at"].alias("begin"), (n - 1).alias("end")
+
+        def kind(entry: Column) -> Column:
+            return F.substring(entry["label"], 3, _TO_THE_END)
+
+        def mark(entry: Column, last: Column) -> Column:
+            opens = entry["label"].startswith("B")
+            fresh = (last["at"] + 1 < entry["at"]) | (kind(last) != kind(entry))
+            return F.struct(
+                entry["at"].alias("begin"),
+                F.when(opens | F.lit(not strict), kind(entry)).alias("type"),
+                (opens | fresh).alias("starts"),
+                last["at"].alias("before"),
+            )
+
+        starts = F.filter(F.zip_with(found, before, mark), lambda m: m["starts"])
+
+        def close(begun: Column) -> Column:
+            """An entity ends where the label before the next start stands."""
+            ends = F.concat(
+                F.transform(
+                    F.slice(begun, 2, F.greatest(F.size(begun), F.lit(1))), lambda m: m["before"]
                 ),
-            ),
-        )
-    )
+                F.array(F.get(found, count - 1)["at"]),
+            )
+            return F.zip_with(
+                begun,
+                ends,
+                lambda m, end: F.when(
+                    m["type"].isNotNull(),
+                    F.struct(m["type"].alias("type"), m["begin"].alias("begin"), end.alias("end")),
+                ),
+            )
+
+        return F.array_compact(bind(starts, close))
+
+    return F.when(size > 0, F.filter(bind(inside, split), lambda e: e["type"].isNotNull()))
 
 
 def conll_block(tokens: Column) -> Column:

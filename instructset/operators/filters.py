@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from instructset.functions.binding import bind
 from instructset.functions.text import has_text, word_count
 
 # The accepted range of description lengths in words, both ends excluded.
@@ -36,14 +37,17 @@ def description_band(
     high: int = MAX_DESCRIPTION_WORDS,
 ) -> Column:
     """``description`` is the list of parts as found, before any markup is removed."""
-    size = word_count(F.array_join(description, " "))
-    return F.coalesce(
-        (F.size(description) > 0)
-        & (size > low)
-        & (size < high)
-        & (size > word_count(title)),
-        F.lit(False),
+    sizes = F.struct(
+        word_count(F.array_join(description, " ")).alias("description"),
+        word_count(title).alias("title"),
+    )
+    fits = bind(
+        sizes,
+        lambda n: (n["description"] > low)
+        & (n["description"] < high)
+        & (n["description"] > n["title"]),
     )
+    return F.coalesce((F.size(description) > 0) & fits, F.lit(False))
 
 
 def both_present(first: Column, second: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from instructset.functions import rouge
 from instructset.functions.arrays import filled_size
-from instructset.functions.labels import aligned_labels, entity_spans, tagged_tuples
+from instructset.functions.labels import aligned_labels, entity_spans, tuple_labels
 from instructset.functions.prompts import generation_prompt, without_echo
 from instructset.functions.text import sentence_lines, word_count
 
@@ -107,11 +107,10 @@ def label_pairs(df: DataFrame, reference: str = "output", prediction: str = "mod
     """Adds ``true_labels`` and ``pred_labels``, read from tagged text."""
 
     def labels(name: str) -> Column:
-        return F.transform(
-            tagged_tuples(F.coalesce(F.col(name), F.lit(""))), lambda t: t["label"]
-        )
+        return tuple_labels(F.coalesce(F.col(name), F.lit("")))
 
-    return df.withColumns({"true_labels": labels(reference), "_found": labels(prediction)}).withColumn(
+    found = df.withColumns({"true_labels": labels(reference), "_found": labels(prediction)})
+    return found.withColumn(
         "pred_labels", aligned_labels(F.col("_found"), F.col("true_labels"))
     ).drop("_found")
 

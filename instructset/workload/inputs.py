@@ -28,7 +28,7 @@ def sql_rank(id_col: str, salt: str = "") -> str:
 def titled(t: Tables) -> DataFrame:
     """Documents as title (first line) and description (all other lines)."""
     at = F.instr("text", "\n")
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "text", "lang", "source"), "doc_id").select(
         F.col("doc_id").alias("pos"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(at > 0, F.substring(F.col("text"), at + 1, F.length("text")))
@@ -56,7 +56,7 @@ TITLED_PAIRS = f"""{TITLED}, pairs AS (
 def titled_pairs(t: Tables) -> DataFrame:
     from instructset.operators.filters import description_band
 
-    rows = spread(titled(t), "pos")
+    rows = titled(t)
     return rows.filter(description_band(F.col("title"), F.array("description"))).select(
         "pos", F.col("title").alias("input"), F.col("description").alias("output")
     )

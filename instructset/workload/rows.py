@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from instructset.functions import prompts as P
 from instructset.functions.html import strip_html
-from instructset.functions.labels import TUPLE, aligned_labels, conll_block, tagged_tuples
+from instructset.functions.labels import aligned_labels, conll_block, tuple_labels, tuple_tokens
 from instructset.functions.text import (
     SENTENCE_END,
+    WHITESPACE,
     has_text,
     one_line,
     run_tag,
@@ -61,6 +62,11 @@ def sql_fill(template: str, *values: str) -> str:
 SQL_SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)"
 
 
+# The tuple pattern as one group, as a reader of the output format would write it.
+_W, _S = r"[\p{L}\p{N}_]", rf"[{WHITESPACE}]"
+SQL_TUPLE = rf"{_W}+?,{_S}+[BI]-{_W}+|{_W}+?,{_S}+O"
+
+
 def sql_strip(text: str) -> str:
     return f"trim({text}, {SQL_SPACES})"
 
@@ -349,9 +355,9 @@ def _(t):
     "ner_tuples",
     f"""WITH {RECOGNIZED}, found AS (
         SELECT doc_id,
-            list_transform(regexp_extract_all(output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS true_labels,
-            list_transform(regexp_extract_all(output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 1)")}) AS tokens,
-            list_transform(regexp_extract_all(model_output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS pred
+            list_transform(regexp_extract_all(output, '{SQL_TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS true_labels,
+            list_transform(regexp_extract_all(output, '{SQL_TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 1)")}) AS tokens,
+            list_transform(regexp_extract_all(model_output, '{SQL_TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS pred
         FROM recognized)
         SELECT doc_id, array_to_string(tokens, ' ') AS tokens, array_to_string(true_labels, ' ') AS true_labels,
             array_to_string(CASE WHEN len(pred) = len(true_labels) THEN pred
@@ -360,16 +366,15 @@ def _(t):
 def _(t):
     found = recognized(t).select(
         "doc_id",
-        tagged_tuples(F.col("output")).alias("true"),
-        tagged_tuples(F.col("model_output")).alias("pred"),
+        tuple_tokens(F.col("output")).alias("tokens"),
+        tuple_labels(F.col("output")).alias("true"),
+        tuple_labels(F.col("model_output")).alias("pred"),
     )
-    true = F.transform("true", lambda x: x["label"])
-    pred = F.transform("pred", lambda x: x["label"])
     return found.select(
         "doc_id",
-        F.array_join(F.transform("true", lambda x: x["token"]), " ").alias("tokens"),
-        F.array_join(true, " ").alias("true_labels"),
-        F.array_join(aligned_labels(pred, true), " ").alias("pred_labels"),
+        F.array_join("tokens", " ").alias("tokens"),
+        F.array_join("true", " ").alias("true_labels"),
+        F.array_join(aligned_labels(F.col("pred"), F.col("true")), " ").alias("pred_labels"),
     )
 
 

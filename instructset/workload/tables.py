@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from instructset.functions import arrays, rouge
-from instructset.functions.labels import TUPLE, entity_spans
+from instructset.functions.labels import entity_spans
 from instructset.functions.text import TOKEN, text_digest, tokens, word_count
 from instructset.operators import batching, dedup, evidence as ev, filters as flt, scoring, selection as sel
 from instructset.operators.reviews import joined_reviews, top_reviews
@@ -37,7 +37,7 @@ from instructset.workload.inputs import (
     titled_pairs,
 )
 from instructset.workload.registry import query
-from instructset.workload.rows import QUALITY, SQL_HTML, sql_fill, sql_strip
+from instructset.workload.rows import QUALITY, SQL_HTML, SQL_TUPLE, sql_fill, sql_strip
 from instructset.functions import prompts as P
 
 RUNGS = {"20": 20, "50": 50, "100": 100}
@@ -549,8 +549,8 @@ for _name, _kind in (("top4_reviews", "verdict"), ("top4_positive", "pros"), ("t
 
 LABELED = f"""{RECOGNIZED}, found AS (
         SELECT doc_id,
-            list_transform(regexp_extract_all(output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS gold,
-            list_transform(regexp_extract_all(model_output, '{TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS pred
+            list_transform(regexp_extract_all(output, '{SQL_TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS gold,
+            list_transform(regexp_extract_all(model_output, '{SQL_TUPLE}'), lambda x: {sql_strip("split_part(x, ',', 2)")}) AS pred
         FROM recognized),
     labeled AS (SELECT doc_id, gold, CASE WHEN len(pred) = len(gold) THEN pred
             ELSE list_transform(gold, lambda x: 'O') END AS pred FROM found)"""
