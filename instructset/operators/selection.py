@@ -5,6 +5,10 @@ seed, salt and id: the same rows whatever the partitioning. The cut-off key of a
 is found from two scans of the id column alone: a histogram over key prefixes tells the
 bucket that holds it, and ranking the keys of this bucket tells the key. The
 rows are then chosen by one comparison in their scan, without a shuffle.
+
+The cut-offs are scalar subqueries over the table they are for. Write a selection down
+(``session.materialize``) before selecting from it again: that saves its scans from being
+repeated, and the optimizer fails on some plans with subqueries inside subqueries.
 """
 
 from __future__ import annotations

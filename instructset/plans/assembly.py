@@ -25,6 +25,7 @@ from instructset.operators.filters import (
 )
 from instructset.operators.selection import SEED, first_rows, train_validation_split
 from instructset.operators.vocabulary import Vocabulary, encode
+from instructset.session import materialize
 
 # Length limits in tokens.
 MAX_LENGTH = 512
@@ -69,10 +70,14 @@ def assemble_instructions(
     """All data sets as one table ``task, split, pos, input_ids, labels``."""
     parts = []
     for task, df in tables.items():
-        split = train_validation_split(df, pos, seed=seed)
+        rows = train_validation_split(df, pos, seed=seed).withColumn("task", F.lit(task))
+        if (select_train, select_eval) == (-1, -1):
+            parts.append(rows)
+            continue
+        # A choice from a choice would find its cut-offs inside those of the other.
+        stored = materialize(rows, "split")
         for name, first in (("train", select_train), ("validation", select_eval)):
-            rows = first_rows(split.filter(F.col("split") == name), pos, first)
-            parts.append(rows.withColumn("task", F.lit(task)))
+            parts.append(first_rows(stored.filter(F.col("split") == name), pos, first))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -11,6 +11,7 @@ from instructset.operators import batching, dedup, evidence as ev, filters as fl
 from instructset.operators.reviews import joined_reviews, top_reviews
 from instructset.operators.vocabulary import build_vocabulary, decode, encode
 from instructset.plans import assembly, building
+from instructset.session import materialize
 from instructset.sources.readers import spread
 from instructset.workload.inputs import (
     BAND,
@@ -165,7 +166,8 @@ SPLIT_ROWS = f"""{SPLITS}, rows AS (
 
 
 def _title_splits(t):
-    return building.ladder_with_held_out(titled_pairs(t), "pos", RUNGS, TEST, DEV).select(
+    pairs = materialize(titled_pairs(t), "pairs")
+    return building.ladder_with_held_out(pairs, "pos", RUNGS, TEST, DEV).select(
         "split", "pos", "input", "output"
     )
 
@@ -247,7 +249,7 @@ def _(t):
 )
 def _(t):
     return building.resplit(
-        titled_pairs(t), "pos", RUNGS, TEST, extra=60, extend="100", extended="160"
+        materialize(titled_pairs(t), "pairs"), "pos", RUNGS, TEST, extra=60, extend="100", extended="160"
     ).select("split", "pos", "input", "output")
 
 
