@@ -26,10 +26,10 @@ def rouge_scores(
     )
 
 
-def long_metrics(row: DataFrame, names) -> DataFrame:
-    """One ``(metric, value)`` row for each named column of a one-row table."""
+def long_metrics(wide: DataFrame, names, by=()) -> DataFrame:
+    """One ``(metric, value)`` row for each named column of each row of a small table."""
     pairs = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
-    return row.select(F.inline(F.array(*pairs)))
+    return wide.select(*by, F.inline(F.array(*pairs)))
 
 
 def rouge_report(
@@ -39,8 +39,10 @@ def rouge_report(
     stemming: bool = False,
     sentence_per_line: bool = False,
     percent: bool = False,
+    by=(),
 ) -> DataFrame:
-    """Corpus means as ``(metric, value)``; with ``percent`` times 100, four digits."""
+    """Corpus means as ``(metric, value)``; with ``percent`` times 100, four digits. ``by``
+    names columns, such as the rung of a sweep, that have means of their own."""
     if sentence_per_line:
         df = df.withColumns(
             {
@@ -54,8 +56,8 @@ def rouge_report(
         value = F.avg(name)
         return F.round(value * 100, 4) if percent else value
 
-    means = scored.agg(*[mean(n).alias(n) for n in rouge.METRICS])
-    return long_metrics(means, rouge.METRICS)
+    means = scored.groupBy(*by).agg(*[mean(n).alias(n) for n in rouge.METRICS])
+    return long_metrics(means, rouge.METRICS, by)
 
 
 def generated_length(df: DataFrame, ids: str, pad: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from instructset.functions.binding import bind
 from instructset.functions.html import strip_html
 from instructset.functions.labels import zip_tags
 from instructset.functions.prompts import (
@@ -16,7 +17,7 @@ from instructset.functions.prompts import (
     summary_prompt,
     without_prompt,
 )
-from instructset.functions.text import text_digest, words
+from instructset.functions.text import text_digest, word_count, words
 from instructset.operators.dedup import first_seen, held_out
 from instructset.operators.evidence import PART_ROWS, answers_with_evidence, pooled_evidence
 from instructset.operators.filters import (
@@ -264,20 +265,26 @@ def tagged_sentences(
     df: DataFrame, text: str = "description", tags: str = "tag"
 ) -> tuple[DataFrame, DataFrame]:
     """Sentences with ``tokens`` (token and label), and rejects whose numbers differ."""
-    tokenized = df.withColumn("_words", words(F.col(text)))
-    kept, rejects = partition_rows(tokenized, F.size("_words") == F.size(tags))
-    return (
-        kept.withColumn("tokens", zip_tags(F.col("_words"), F.col(tags))).drop("_words"),
-        rejects.drop("_words"),
+    fit = F.explode(
+        bind(
+            words(F.col(text)),
+            lambda w: F.when(F.size(w) == F.size(tags), F.array(zip_tags(w, F.col(tags)))),
+        )
     )
+    fits = F.coalesce(word_count(F.col(text)) == F.size(tags), F.lit(False))
+    # Making the tokens and dropping misfits are one step: a filter on the tokens would
+    # have them made twice.
+    return df.select("*", fit.alias("tokens")), df.filter(~fits)
 
 
 def build_tagged_splits(
     df: DataFrame, id_col: str, text: str = "description", tags: str = "tag", seed: int = SEED
 ) -> DataFrame:
-    """``id, tokens, split``: a shuffled 70/10/20 split of the sentences that fit."""
-    sentences, _ = tagged_sentences(df, text, tags)
-    return shuffled_split(sentences, id_col, seed=seed).select(id_col, "tokens", "split")
+    """``id, tokens, split``: a shuffled 70/10/20 split of the sentences that fit. They are
+    written once, since the cut-offs need scans of their ids."""
+    fitting, _ = tagged_sentences(df, text, tags)
+    sentences = materialize(fitting.select(id_col, "tokens"), "sentences")
+    return shuffled_split(sentences, id_col, seed=seed)
 
 
 def filled_pairs(df: DataFrame, first: Column, second: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from instructset import schemas
+from instructset.operators.positions import with_row_index
 
 # Accepted extensions of pair files, column pairs of known datasets, and the
 # texts that a tab-separated source means as missing.
@@ -123,6 +124,21 @@ def read_split_folders(
     return df.withColumn("split", split_of(df, splits, by_folder=True))
 
 
+def read_ranked_tsv(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    splits: Sequence[str] = ("dev", "test", "train"),
+    multi_line: bool = True,
+) -> DataFrame:
+    """``folder/<split>.csv``, tab-separated, with ``split``, ``source_rank`` (the place of
+    the split in ``splits``) and ``pos`` (the place of the row)."""
+    df = read_tsv(spark, [f"{folder}/{name}.csv" for name in splits], schema, multi_line)
+    named = with_row_index(df.withColumn("split", split_of(df, splits)))
+    rank = F.array_position(F.lit(list(splits)), F.col("split")) - 1
+    return named.withColumn("source_rank", rank)
+
+
 def read_named_dataset(spark: SparkSession, root: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """All splits of a local dataset, ``root/<split>/*`` in any format."""
     df = spark.read.schema(schema).option("pathGlobFilter", f"*.{fmt}*").format(

@@ -297,15 +297,26 @@ def _(t):
     return sentences.select("doc_id", conll_block(F.col("tokens")).alias("value"))
 
 
-SQL_HTML = """trim(array_to_string(list_filter(list_transform(string_split(
-        replace(replace(replace(replace(
-            regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-                '(?is)<!--.*?-->', chr(1), 'g'),
-                '(?is)<script\\b[^>]*>.*?</script\\s*>', chr(1), 'g'),
-                '(?is)<style\\b[^>]*>.*?</style\\s*>', chr(1), 'g'),
-                '<[^>]*>', chr(1), 'g'),
-            '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1)),
-        lambda x: trim(x, """ + SQL_SPACES + """)), lambda x: length(x) > 0), ' '))"""
+
+
+def sql_html(html: str) -> str:
+    """Markup removed by one replacement after another; enough where markup is not nested in
+    comments or scripts and only these references occur."""
+    markup = html
+    for pattern in (
+        r"(?is)<!--.*?-->",
+        r"(?is)<script\b[^>]*>.*?</script\s*>",
+        r"(?is)<style\b[^>]*>.*?</style\s*>",
+        r"</?[a-zA-Z!][^>]*>",
+    ):
+        markup = f"regexp_replace({markup}, '{pattern}', chr(1), 'g')"
+    for name, text in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        markup = f"replace({markup}, '&{name};', '{text}')"
+    return f"""array_to_string(list_filter(list_transform(string_split({markup}, chr(1)),
+        lambda x: {sql_strip("x")}), lambda x: length(x) > 0), ' ')"""
+
+
+SQL_HTML = sql_html("html")
 
 
 @query("strip_html", f"SELECT page_id, {SQL_HTML} AS text FROM pages")

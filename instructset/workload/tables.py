@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from instructset.functions import arrays, rouge
 from instructset.functions.labels import entity_spans
-from instructset.functions.text import TOKEN, text_digest, tokens, word_count
+from instructset.functions.text import TOKEN, WORD, tokens, word_count
 from instructset.operators import batching, dedup, evidence as ev, filters as flt, scoring, selection as sel
 from instructset.operators.reviews import joined_reviews, top_reviews
 from instructset.operators.vocabulary import build_vocabulary, decode, encode
@@ -38,7 +38,7 @@ from instructset.workload.inputs import (
     titled_pairs,
 )
 from instructset.workload.registry import query
-from instructset.workload.rows import QUALITY, SQL_HTML, SQL_TUPLE, sql_fill, sql_strip
+from instructset.workload.rows import QUALITY, SQL_HTML, SQL_TUPLE, sql_fill, sql_html, sql_strip
 from instructset.functions import prompts as P
 
 RUNGS = {"20": 20, "50": 50, "100": 100}
@@ -293,7 +293,16 @@ def _(t):
     )
 
 
-@query("product_pairs_build")
+@query(
+    "product_pairs_build",
+    f"""WITH {PRODUCTS}, firsts AS (
+        SELECT *, row_number() OVER (PARTITION BY product_title ORDER BY split_rank, pos) AS seen
+        FROM products WHERE product_locale = 'us' AND length(product_description) > 0)
+        SELECT split, 'Title: ' || {sql_html("product_title")} || chr(10) || 'Brand: ' || coalesce(product_brand, 'None')
+            || chr(10) || 'Color: ' || coalesce(product_color, 'None') || chr(10) || 'Bullet points: '
+            || {sql_html("product_bullet_point")} AS input, {sql_html("product_description")} AS output
+        FROM firsts WHERE seen = 1 AND {QUALITY}""",
+)
 def _(t):
     return building.build_product_descriptions(products(t))
 
@@ -632,11 +641,30 @@ query("rouge1", _rouge_sql(1))(_rouge(1))
 query("rouge2", _rouge_sql(2))(_rouge(2))
 
 
-@query("rouge_l")
+# The longest common subsequence row by row: a cell is the best of the cells above and
+# left of it, where a match adds one to the cell diagonally before.
+ROUGE_L = f"""WITH {CHAT}, toks AS (
+        SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS a,
+            regexp_extract_all(lower(response), '[a-z0-9]+') AS b FROM chat),
+    matched AS (SELECT id, a, b, list_transform(a, lambda x: list_transform(b, lambda y: (x = y)::INT)) AS m FROM toks),
+    longest AS (SELECT id, len(a) + len(b) AS n, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE
+        list_max(list_reduce(list_prepend(list_transform(b, lambda y: 0), m), lambda above, match:
+            list_transform(range(1, len(match) + 1), lambda j:
+                list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN match[k] = 1
+                    THEN coalesce(above[k - 1], 0) + 1 ELSE above[k] END))::INT))) END AS h FROM matched)
+    SELECT id, round(CASE WHEN h > 0 THEN 2.0 * h / n ELSE 0.0 END::DOUBLE, 6) AS "rougeL" FROM longest"""
+
+
+@query("rouge_l", ROUGE_L)
 def _(t):
-    return scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response").select(
-        "id", F.round("rougeL", 6).alias("rougeL"), F.round("rougeLsum", 6).alias("rougeLsum")
-    )
+    scored = scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response")
+    return scored.select("id", F.round("rougeL", 6).alias("rougeL"))
+
+
+@query("rouge_lsum")
+def _(t):
+    scored = scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response")
+    return scored.select("id", F.round("rougeLsum", 6).alias("rougeLsum"))
 
 
 @query("rouge_report")
@@ -654,7 +682,13 @@ def _load_echo():
     return lambda prompts: [p + " ".join(p.split()[-5:]) for p in prompts]
 
 
-@query("score_job")
+@query(
+    "score_job",
+    f"""WITH {CHAT}, prompted AS (SELECT id, prompt AS input, response AS output,
+            regexp_extract_all(prompt || '<SEP>', '{WORD}') AS w FROM chat)
+        SELECT id, input, output, replace(input || '<SEP>' || array_to_string(list_slice(w, greatest(len(w) - 4, 1), len(w)), ' '),
+            input || '<SEP>', '') AS model_output FROM prompted""",
+)
 def _(t):
     pairs = chat(t).select("id", F.col("prompt").alias("input"), F.col("response").alias("output"))
     return scoring.predict(spread(pairs, "id"), _load_echo)
@@ -702,7 +736,10 @@ def _(t):
         FROM pairs WHERE length(input) > 0 AND length(output) > 0""",
 )
 def _(t):
-    pairs = titled_pairs(t).select("pos", F.col("output").alias("input"), F.col("input").alias("output"))
+    swapped = titled_pairs(t).select(
+        "pos", F.col("output").alias("input"), F.col("input").alias("output")
+    )
+    pairs = materialize(swapped, "pairs")
     vocabulary = build_vocabulary(pairs, "input", "output")
     return assembly.assemble_seq2seq(pairs, "pos", vocabulary, prefix="summarize: ").select(
         "pos",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from instructset import schemas
 from instructset.functions.text import one_line
 from instructset.operators.scoring import long_metrics
-from instructset.plans import building
+from instructset.plans import building, evaluation
 from instructset.sources import readers, registry, writers
 from instructset.streaming.incremental import append_available, follow_jsonl
 
@@ -164,3 +164,31 @@ def test_incremental_run(spark, tmp_path):
         append_available(stream, *args).awaitTermination(120)
         assert sorted(lines(tmp_path / "out")) == expected
         put(tmp_path / "in" / "2.json", [{"input": "d", "output": "e"}])
+
+
+def test_question_files(spark, tmp_path):
+    head = "qid\tASIN\tqa_pair_id\tquestion\tcandidate\tlabel\tsource\tconfidence\n"
+    answers = "ASIN\tquestion\tcandidate\tanswer\tsource\n"
+    for folder in ("evidence", "answers"):
+        (tmp_path / folder).mkdir()
+    for name in ("train", "dev", "test"):
+        rows = "".join(f"1\tA\t1\tq\t{name}{i}\t1\ts\t1\n" for i in range(3)) + "1\tB\t1\tq\tNaN\t1\ts\t1\n"
+        (tmp_path / "evidence" / f"{name}.csv").write_text(head + rows)
+        (tmp_path / "answers" / f"{name}.csv").write_text(answers + f"A\tq\tc\tans-{name}\ts\nB\tq\tc\tnone\ts\n")
+    evidence = readers.read_ranked_tsv(spark, str(tmp_path / "evidence"), schemas.EVIDENCE)
+    asked = readers.read_ranked_tsv(spark, str(tmp_path / "answers"), schemas.ANSWERS)
+    rows = building.build_question_answers(asked, evidence).collect()
+    assert sorted((r.split, r.output) for r in rows) == [(n, f"ans-{n}") for n in ("dev", "test", "train")]
+    context = "\n".join(f"{n}{i}" for n in ("dev", "test", "train") for i in range(3))
+    assert {r.input.split("Context: ")[1] for r in rows} == {context}
+
+
+def test_scored_files(spark, tmp_path):
+    put(tmp_path / "s.jsonl", [{"input": "", "output": "red, B-A box, O", "model_output": "red, B-A box, O"}])
+    report = {r.entity: r.f1 for r in evaluation.score_entities(spark, str(tmp_path / "s.jsonl")).collect()}
+    assert report == {"A": 1.0, "micro avg": 1.0, "macro avg": 1.0, "weighted avg": 1.0}
+    assert {r.value for r in evaluation.score_texts(spark, str(tmp_path / "s.jsonl")).collect()} == {1.0}
+    df = spark.createDataFrame([("1k", "a b", "a b"), ("5k", "a", "b")], "rung string, output string, model_output string")
+    sweep = {(r.rung, r.metric): r.value for r in evaluation.sweep_report(df).collect()}
+    assert sweep[("1k", "rougeL")] == 100.0 and sweep[("5k", "rougeL")] == 0.0 and len(sweep) == 8
+    assert evaluation.samples(df, 1, "eval").first() == ("eval_samples", 1.0)
