@@ -25,16 +25,17 @@ def length_batches(
     df: DataFrame, id_col: str, length: Column, size: int, seed: int = SEED
 ) -> DataFrame:
     """Shuffled batches of rows of like length: rows are shuffled, cut into groups of 50
-    batches, and sorted by length, longest first, inside each group."""
+    batches, and sorted by length, longest first, inside each group. Adds ``group_id``,
+    ``batch_id`` and ``slot``."""
     group_rows = size * BATCHES_PER_GROUP
     shuffled = shuffle_rows(df, id_col, seed, "batches", "_rank").withColumns(
-        {"_group": F.floor((F.col("_rank") - 1) / group_rows), "_length": length}
+        {"group_id": F.floor((F.col("_rank") - 1) / group_rows), "_length": length}
     )
-    longest_first = W.partitionBy("_group").orderBy(F.desc("_length"), id_col)
+    longest_first = W.partitionBy("group_id").orderBy(F.desc("_length"), id_col)
     ranked = shuffled.withColumn(
-        "_place", F.col("_group") * group_rows + F.row_number().over(longest_first)
+        "_place", F.col("group_id") * group_rows + F.row_number().over(longest_first)
     )
-    return numbered_batches(ranked, "_place", size).drop("_rank", "_group", "_length", "_place")
+    return numbered_batches(ranked, "_place", size).drop("_rank", "_length", "_place")
 
 
 def padded_batches(
@@ -42,10 +43,12 @@ def padded_batches(
 ) -> DataFrame:
     """One row per batch: id, label and mask matrices, as wide as the longest row.
 
-    ``df`` has ``batch_id`` and ``slot``; a batch has a fixed number of rows.
+    ``df`` has ``batch_id`` and ``slot``; a batch has a fixed number of rows. Where it
+    has a ``group_id`` too, its rows lie together by group and are not shuffled again.
     """
+    keys = [key for key in ("group_id", "batch_id") if key in df.columns]
     row = F.struct("slot", F.col(ids).alias("ids"), F.col(labels).alias("labels"))
-    gathered = df.groupBy("batch_id").agg(
+    gathered = df.groupBy(*keys).agg(
         F.sort_array(F.collect_list(row)).alias("_rows"),
         round_up(F.max(F.size(ids)), multiple).alias("_ids_width"),
         round_up(F.max(F.size(labels)), multiple).alias("_labels_width"),

@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Four hexadecimal digits: at most 65,536 histogram rows, and a bucket holds about one
-# row in 65,536.
-_PREFIX_DIGITS = 4
+# Hexadecimal digits of a key that make its bucket. A task adds at most 4,096 rows per salt
+# to the histogram of a draw, and ranks one bucket of ids and keys. Where
+# whole rows are ranked, buckets are finer: about one row in 65,536.
+_CUT_DIGITS = 3
+_RANK_DIGITS = 4
 _RANGE_BUCKETS = 1 << 16
 
 # Sizes of the training ladders and of the held-out sets.
@@ -57,14 +59,14 @@ def draw_key(id_col: str, salt: str = "", seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col(id_col).cast("string")))
 
 
-def _prefix(key: Column) -> Column:
-    return F.substring(key, 1, _PREFIX_DIGITS)
+def _prefix(key: Column, digits: int) -> Column:
+    return F.substring(key, 1, digits)
 
 
-def _histogram(keyed: DataFrame) -> DataFrame:
-    """Rows per (salt, key prefix) with the number of rows before; at most 65,536 rows
-    for each salt, whatever the table size."""
-    counts = keyed.groupBy("salt", _prefix(F.col("key")).alias("prefix")).agg(
+def _histogram(keyed: DataFrame, digits: int) -> DataFrame:
+    """Rows per (salt, key prefix) with the number of rows before; at most 16 ** digits
+    rows for each salt, whatever the table size."""
+    counts = keyed.groupBy("salt", _prefix(F.col("key"), digits).alias("prefix")).agg(
         F.count("*").alias("n")
     )
     ordered = W.partitionBy("salt").orderBy("prefix")
@@ -110,7 +112,7 @@ def cutoffs(
         )
 
     holding = (
-        _histogram(keyed)
+        _histogram(keyed, _CUT_DIGITS)
         .select(
             "salt",
             "prefix",
@@ -127,7 +129,7 @@ def cutoffs(
     )
     # ``holding`` has one row per draw, which bounds the broadcast.
     return (
-        keyed.withColumn("prefix", _prefix(F.col("key")))
+        keyed.withColumn("prefix", _prefix(F.col("key"), _CUT_DIGITS))
         .join(F.broadcast(holding), ["salt", "prefix"])
         .withColumn("rank", F.row_number().over(W.partitionBy("draw").orderBy("key", "id")))
         .filter(F.col("rank") == F.col("nth"))
@@ -244,10 +246,11 @@ def shuffle_rows(
     so no task ever sees more than about one row in 65,536.
     """
     keyed = df.withColumn("_key", draw_key(id_col, salt, seed)).withColumn(
-        "_prefix", _prefix(F.col("_key"))
+        "_prefix", _prefix(F.col("_key"), _RANK_DIGITS)
     )
     starts = _histogram(
-        df.select(F.lit(salt).alias("salt"), draw_key(id_col, salt, seed).alias("key"))
+        df.select(F.lit(salt).alias("salt"), draw_key(id_col, salt, seed).alias("key")),
+        _RANK_DIGITS,
     ).select(F.col("prefix").alias("_prefix"), F.col("before").alias("_before"))
     inside = F.row_number().over(W.partitionBy("_prefix").orderBy("_key", id_col))
     return (
