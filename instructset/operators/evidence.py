@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PART_ROWS = 100_000
 # At most this many groups can be in parts, see below.
 MAX_SPLIT_GROUPS = 100_000
+# Position ranges of one source, more than any table has.
+_CHUNKS = 1 << 45
 
 
 def pooled_evidence(
@@ -30,11 +32,12 @@ def pooled_evidence(
     """
     source, position = order
     rows = df.filter(F.col(text_col).isNotNull())
-    chunk = F.struct(F.col(source), F.floor(F.col(position) / part_rows).alias("chunk"))
+    # One integer orders the parts, so that counting groups stays a hash aggregation.
+    chunk = F.col(source).cast("bigint") * _CHUNKS + F.expr(f"`{position}` div {part_rows}")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(chunk).alias("_first"))
     # The threshold grows with the table: no more than MAX_SPLIT_GROUPS groups can hold
     # more than one row in MAX_SPLIT_GROUPS, which bounds the broadcast.
-    total = sizes.agg(F.sum("_n")).scalar()
+    total = rows.agg(F.count("*")).scalar()
     large = sizes.filter(
         F.col("_n") > F.greatest(F.lit(part_rows), F.ceil(total / F.lit(MAX_SPLIT_GROUPS)))
     ).select(*keys, "_first")

@@ -23,6 +23,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ins
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Recording the Python call site of every column expression costs more than building it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -50,6 +52,7 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
+        # Only the driver reads this archive; Spark hands it on to the executors.
         base = Path(tempfile.mkdtemp(prefix="instructset-")) / root.name
         archive = shutil.make_archive(str(base), "zip", root.parent, root.name)
         context.addPyFile(archive)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from instructset.functions import prompts as P
 from instructset.functions.html import strip_html
@@ -10,7 +13,6 @@ from instructset.functions.labels import aligned_labels, conll_block, tuple_labe
 from instructset.functions.text import (
     SENTENCE_END,
     WHITESPACE,
-    has_text,
     one_line,
     run_tag,
     sentence_lines,
@@ -396,8 +398,6 @@ def _(t):
 
 def _copy(t, fmt: str) -> str:
     """A fresh folder in the shared folder for a table that is written and read back."""
-    import uuid
-
     return f"{shared_dir(t.spark)}/{fmt}-{uuid.uuid4().hex}"
 
 
@@ -406,8 +406,6 @@ DOCUMENT = "doc_id bigint, text string, lang string, source string"
 
 @query("jsonl_scan", "SELECT doc_id, text, lang, source FROM documents")
 def _(t):
-    from pyspark.sql import types as T
-
     path = _copy(t, "jsonl")
     writers.write_jsonl(t.documents.select("doc_id", "text", "lang", "source"), path)
     return readers.read_jsonl(t.spark, path, T.StructType.fromDDL(DOCUMENT))
@@ -415,8 +413,6 @@ def _(t):
 
 @query("csv_scan", "SELECT doc_id, text, lang, source FROM documents")
 def _(t):
-    from pyspark.sql import types as T
-
     path = _copy(t, "csv")
     writers.write_csv(t.documents.select("doc_id", "text", "lang", "source"), path)
     return readers.read_csv(t.spark, path, T.StructType.fromDDL(DOCUMENT))
@@ -424,8 +420,6 @@ def _(t):
 
 @query("split_folders_scan", "SELECT lang AS split, doc_id, text FROM documents")
 def _(t):
-    from pyspark.sql import types as T
-
     path = _copy(t, "splits")
     for lang in ("de", "en", "es", "fr"):
         rows = t.documents.filter(F.col("lang") == lang).select("doc_id", "text")

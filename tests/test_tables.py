@@ -150,7 +150,7 @@ def test_evidence_of_a_large_group_is_whole(spark):
         parts = pooled_evidence(df, ["asin", "q"], ["src", "pos"], "text", part_rows).collect()
         assert max(len(p.evidence) for p in parts) <= part_rows
         seen = {}
-        for p in sorted(parts, key=lambda p: p.part or ()):
+        for p in sorted(parts, key=lambda p: p.part or 0):
             assert p.first == ((p.asin, p.q) not in seen)
             seen.setdefault((p.asin, p.q), []).extend(p.evidence)
         assert seen == expected
