@@ -13,6 +13,8 @@ TOP_REVIEWS = 4
 VERDICT, PROS, CONS = "verdict", "pros", "cons"
 REVIEWS_FOR = {VERDICT: None, PROS: "positive", CONS: "negative"}
 
+_LAST = (1 << 63) - 1
+
 
 def _check(kind: str) -> None:
     if kind not in REVIEWS_FOR:
@@ -21,13 +23,13 @@ def _check(kind: str) -> None:
 
 def top_review_text(reviews: Column, kind: str = VERDICT, n: int = TOP_REVIEWS) -> Column:
     """Texts of the ``n`` reviews with most helpful votes, one per line; among equals
-    the earlier review comes first."""
+    the earlier review comes first, and reviews without a number of votes come last."""
     _check(kind)
     wanted = REVIEWS_FOR[kind]
     placed = F.transform(
         reviews,
         lambda r, i: F.struct(
-            (-r["helpful_votes"]).alias("order"), i.alias("at"), r["text"], r["rating"]
+            F.coalesce(-r["helpful_votes"], F.lit(_LAST)).alias("order"), i.alias("at"), r["text"], r["rating"]
         ),
     )
     if wanted:

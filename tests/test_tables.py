@@ -174,7 +174,7 @@ def test_reviews(spark):
     def review(text, rating, votes):
         return {"text": text, "rating": float(rating), "helpful_votes": votes}
 
-    reviews = [review("a", 3, 5), review("b", 4, 5), review("c", 1, 9), review("d", 5, 1),
+    reviews = [review("z", 1, None), review("a", 3, 5), review("b", 4, 5), review("c", 1, 9), review("d", 5, 1),
                review("e", 4, 5), review("f", 5, 0), review("g", 5, 7)]
     summary = {"verdict": "V", "pros": ["p1", "p2"], "cons": ["c1"]}
     df = spark.createDataFrame(
@@ -182,7 +182,7 @@ def test_reviews(spark):
     ).withColumn("file_name", F.lit("x.json"))
     texts = {k: [r[0] for r in df.select(top_review_text(F.col("customer_reviews"), k)).collect()] for k in ("verdict", "pros", "cons")}
     assert texts["verdict"][0] == "c\ng\na\nb"
-    assert texts["pros"][0] == "g\nb\ne\nd" and texts["cons"][0] == "c"
+    assert texts["pros"][0] == "g\nb\ne\nd" and texts["cons"][0] == "c\nz"
     assert texts["verdict"][1] == ""
     pros = [r[0] for r in df.select(summary_text(F.col("website_summaries"), "pros")).collect()]
     assert pros == ["p1\np2", "p1\np2", None]
