@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -137,45 +139,28 @@ def cutoffs(
     )
 
 
-def drawn(
-    df: DataFrame,
-    id_col: str,
-    draws: Mapping[str, Draw],
-    seed: int = SEED,
-    strict: bool = False,
-    within: DataFrame | None = None,
-) -> DataFrame:
-    """``df`` with the column ``draws``: the names of the draws that hold the row.
+def membership(
+    df: DataFrame, id_col: str, draws: Mapping[str, Draw], seed: int = SEED, strict: bool = False
+) -> dict[str, Column]:
+    """For each draw the predicate that tells its rows.
 
-    The cut-offs may be taken from ``within``, a narrower or materialized form of
-    the same rows.
+    Equal keys mean equal ids, so the key alone is compared.
     """
-    source = df if within is None else within
-    cuts = cutoffs(source, id_col, draws, seed, strict).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("draw", F.struct("key", F.col("id").alias("id"))))
-        ).alias("cuts")
-    )
-    limits = cuts.scalar()
-
-    def member(name: str, draw: Draw) -> Column:
-        row = F.struct(draw_key(id_col, draw.salt, seed).alias("key"), F.col(id_col).alias("id"))
-        return F.when(row <= F.try_element_at(limits, F.lit(name)), F.lit(name))
-
-    return df.withColumn(
-        "draws", F.array_compact(F.array(*[member(n, d) for n, d in draws.items()]))
-    )
+    names = list(draws)
+    last = [F.max(F.when(F.col("draw") == name, F.col("key"))).alias(f"cut{i}") for i, name in enumerate(names)]
+    row = cutoffs(df, id_col, draws, seed, strict).agg(*last)
+    limits = row.select(F.struct(*row.columns)).scalar()
+    return {
+        name: F.coalesce(draw_key(id_col, draws[name].salt, seed) <= limits[f"cut{i}"], F.lit(False))
+        for i, name in enumerate(names)
+    }
 
 
 def exact_sample(
     df: DataFrame, id_col: str, n: int, salt: str = "", seed: int = SEED, strict: bool = False
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement (fewer only where there are fewer)."""
-    return (
-        drawn(df, id_col, {"sample": Draw(n, salt)}, seed, strict)
-        .filter(F.size("draws") > 0)
-        .drop("draws")
-    )
+    return df.filter(membership(df, id_col, {"sample": Draw(n, salt)}, seed, strict)["sample"])
 
 
 def sample_ladder(
@@ -189,11 +174,10 @@ def sample_ladder(
     """One row per (rung, drawn row). Rungs are independent and may overlap; with
     ``nested`` each rung contains the smaller ones. One scan serves all rungs."""
     draws = {name: Draw(n, "ladder" if nested else name) for name, n in sizes.items()}
-    return (
-        drawn(df, id_col, draws, seed, strict)
-        .filter(F.size("draws") > 0)
-        .withColumn("rung", F.explode("draws"))
-        .drop("draws")
+    members = membership(df, id_col, draws, seed, strict)
+    rungs = F.array(*[F.when(member, F.lit(name)) for name, member in members.items()])
+    return df.filter(reduce(or_, members.values())).withColumn(
+        "rung", F.explode(F.array_compact(rungs))
     )
 
 
@@ -211,11 +195,11 @@ def shuffled_split(
 ) -> DataFrame:
     """Shuffle and cut at ``floor(n * cut)``; adds ``split``."""
     draws = {str(i): Draw(_share(cut), salt) for i, cut in enumerate(cuts)}
-    marked = drawn(df, id_col, draws, seed)
+    members = membership(df, id_col, draws, seed)
     choice = F.lit(names[len(cuts)])
     for i in reversed(range(len(cuts))):
-        choice = F.when(F.array_contains("draws", str(i)), F.lit(names[i])).otherwise(choice)
-    return marked.withColumn("split", choice).drop("draws")
+        choice = F.when(members[str(i)], F.lit(names[i])).otherwise(choice)
+    return df.withColumn("split", choice)
 
 
 def train_validation_split(
@@ -227,10 +211,10 @@ def train_validation_split(
 ) -> DataFrame:
     """Exactly ``ceil(n * test_size)`` rows go to ``validation``."""
     held = Draw(lambda total: F.ceil(total * F.lit(float(test_size))), salt)
-    marked = drawn(df, id_col, {"validation": held}, seed)
-    return marked.withColumn(
-        "split", F.when(F.size("draws") > 0, F.lit("validation")).otherwise(F.lit("train"))
-    ).drop("draws")
+    chosen = membership(df, id_col, {"validation": held}, seed)["validation"]
+    return df.withColumn(
+        "split", F.when(chosen, F.lit("validation")).otherwise(F.lit("train"))
+    )
 
 
 def shuffle_rows(

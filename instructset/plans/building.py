@@ -33,9 +33,8 @@ from instructset.operators.selection import (
     RESPLIT_LADDER,
     SEED,
     SUMMARY_LADDER,
-    Draw,
-    drawn,
     early_stop,
+    exact_sample,
     sample_ladder,
     shuffled_split,
 )
@@ -65,12 +64,8 @@ def description_pairs(
 
 def _assigned(narrow: DataFrame, id_col: str, name: str, size: int, seed: int, strict: bool) -> DataFrame:
     """``id, _digest, split`` of one more draw, written as a small table."""
-    rows = (
-        drawn(narrow, id_col, {name: Draw(size, name)}, seed, strict)
-        .filter(F.size("draws") > 0)
-        .select(id_col, "_digest", F.lit(name).alias("split"))
-    )
-    return materialize(rows, name)
+    rows = exact_sample(narrow, id_col, size, name, seed, strict)
+    return materialize(rows.select(id_col, "_digest", F.lit(name).alias("split")), name)
 
 
 def ladder_with_held_out(
