@@ -8,8 +8,11 @@ the fragments, and its ids of the whole text are those of the fragments in a row
 A cut needs more than the pair where the tokenizer first splits a text by a pattern. For a
 byte-level tokenizer (the pattern with optional leading spaces) no cut follows white space, since
 the pattern looks ahead there, nor goes before an apostrophe, since that may begin a contraction.
-A tokenizer that drops white space is cut at white space alone; no piece of its pattern holds any.
-Texts that hold the string of an added token are encoded whole.
+A tokenizer that drops white space is cut there, and where letters, digits and marks meet, which its pattern
+parts too; never beside an apostrophe or a character outside ASCII and the letters of Latin-1.
+Texts that hold the string of an added token are encoded whole. Fragments of one plain run go straight to
+the vocabulary's merges, others through the library's whole way. A fragment met again is known by a 64-bit
+hash; among the fragments that a task keeps, a wrong match has a chance below one in ten million.
 
 A null text counts as empty and has no ids. Repeated rows get repeated results. Memory per task is
 one pass of text, its ids, and a cache of at most ``CACHE`` fragments; a longer text than a pass
@@ -19,9 +22,11 @@ makes one pass of its own.
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 from pathlib import Path
 
 import numpy as np
@@ -30,15 +35,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from instructset.llm.common import prepare, sliced
-from instructset.llm.hashing import passes
+from instructset.llm.hashing import HashIndex, passes, span_hashes, text_buffer, word_spans
 
-#: Fragments whose ids a task keeps before it starts its cache anew.
-CACHE = 400_000
-#: Longer fragments are encoded each time, so that the cache is bounded in bytes too.
-LONGEST_KEPT = 64
+#: Fragments, and bytes of them, whose ids a task keeps before it starts its cache anew.
+CACHE = 600_000
+CACHE_BYTES = 16 << 20
 #: Bytes that can end a white space character of more than one byte.
 _SPACE_ENDS = np.zeros(256, bool)
 _SPACE_ENDS[[0x85, 0xA0, *range(0x80, 0x8B), 0x9F, 0xA8, 0xA9, 0xAF]] = True
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+#: One run of Latin-1 letters, a digit or ASCII marks, for a tokenizer that drops white space.
+_PLAIN_RUN = re.compile(_LETTER + rb"+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: One run of letters in the pattern of a byte-level tokenizer.
+_PLAIN_SPACED = re.compile(rb" ?" + _LETTER + rb"+")
+#: 1 for letters, 2 for digits, 3 for marks but the apostrophe, 0 for what is never cut at.
+_KIND = np.zeros(256, np.int8)
+_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_NO_LETTER = np.zeros(256, bool)
+_NO_LETTER[[0x97, 0xB7]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[*range(9, 14), *range(28, 33)]] = True
 
@@ -54,10 +72,11 @@ def byte_of_char() -> dict[str, int]:
 def token_bytes(spec: dict) -> list[bytes]:
     """The bytes of each id, added tokens included; unused ids are empty."""
     to_byte = byte_of_char()
+    suffix = spec["model"]["end_of_word_suffix"] or ""
     ids = spec["model"]["vocab"]
     out = [b""] * (1 + max([*ids.values(), *(a["id"] for a in spec["added_tokens"])]))
     for token, i in ids.items():
-        out[i] = bytes(to_byte[c] for c in token)
+        out[i] = bytes(to_byte[c] for c in token.removesuffix(suffix))
     for added in spec["added_tokens"]:
         out[added["id"]] = added["content"].encode()
     return out
@@ -79,9 +98,11 @@ def never_inside(tokens: list[bytes]) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts by fragments, with the library for fragments that it hasn't kept."""
+    """Encodes texts by fragments; each fragment is known by a 64-bit hash once it has been encoded."""
 
     def __init__(self, spec: str):
+        # Spark runs a task per core; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -90,84 +111,125 @@ class Encoder:
         parsed = json.loads(spec)
         self.added = [a["content"].encode() for a in parsed["added_tokens"]]
         self.by_space = parsed["pre_tokenizer"]["type"] != "ByteLevel"
+        # Runs hold no line ends; these part them.
+        self.char = {b: c for c, b in byte_of_char().items() if b != 10}
+        self.free = never_inside(token_bytes({**parsed, "added_tokens": []}))
+        self.free[:, 0x80:0xC0] = False
         if not self.by_space:
-            free = never_inside(token_bytes({**parsed, "added_tokens": []}))
-            free[_ASCII_SPACE] = False
-            free[:, ord("'")] = False
-            free[:, 0x80:0xC0] = False
-            self.free = free
+            self.free[_ASCII_SPACE] = False
+            self.free[:, ord("'")] = False
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = HashIndex()
         self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _keep(self, fragments: list[bytes]) -> None:
-        for a in range(0, len(fragments), 20_000):
-            part = fragments[a : a + 20_000]
-            rows = [e.ids for e in self.tokenizer.encode_batch([f.decode() for f in part], add_special_tokens=False)]
-            n, sizes = len(self.index), np.fromiter(map(len, rows), np.int64, len(rows))
-            total = int(sizes.sum())
-            while n + len(part) > len(self.at):
-                self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
-            while self.used + total > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), np.int32, total)
-            self.at[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(part)] = sizes
-            self.used += total
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
-
-    def fragments(self, text: bytes) -> list[bytes]:
-        if self.by_space:
-            return text.split()
-        data = np.frombuffer(text, np.uint8)
-        if len(data) < 2:
-            return [text] if text else []
-        a, b = data[:-1], data[1:]
-        cut = self.free[a, b]
-        wide = _SPACE_ENDS[a] & (a >= 0x80)
-        if wide.any():
-            # Of two-byte characters only those that begin with 0xC2 can be white space.
-            lead = np.empty_like(a)
-            lead[0], lead[1:] = 0, a[:-1]
-            cut &= ~wide | ((lead >= 0xC3) & (lead <= 0xDF))
-        edges = [0, *(np.flatnonzero(cut) + 1).tolist(), len(text)]
-        return [text[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        self.used = self.bytes = 0
+
+    def _merged(self, runs: list[bytes]) -> list[list[int]]:
+        """Ids of runs that the tokenizer's pattern takes whole."""
+        text = b"\n".join(runs)
+        shown = text.decode().lower().encode() if self.by_space else text
+        tokenize = self.tokenizer.model.tokenize
+        pieces = shown.decode("latin-1").translate(self.char).split("\n")
+        return [[t.id for t in tokenize(piece)] for piece in pieces] if runs else []
+
+    def fragments(self, fragments: list[bytes]) -> list[list[int]]:
+        """Ids of fragments: merged as they are if they are plain, or else by the library's whole way."""
+        plain = _PLAIN_RUN.fullmatch if self.by_space else _PLAIN_SPACED.fullmatch
+        is_plain = [plain(f) is not None for f in fragments]
+        merged = iter(self._merged(list(compress(fragments, is_plain))))
+        return [next(merged) if p else self.whole(f) for f, p in zip(fragments, is_plain, strict=True)]
 
     def whole(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _keep(self, hashes: np.ndarray, fragments: list[bytes]) -> None:
+        n = self.index.n
+        self.index.add(hashes)
+        self.bytes += sum(map(len, fragments))
+        rows = self.fragments(fragments)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        total = int(sizes.sum())
+        while n + len(rows) > len(self.at):
+            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+        while self.used + total > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), np.int32, total)
+        self.at[n : n + len(rows)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(rows)] = sizes
+        self.used += total
+
+    def cuts(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the fragments in ``data``, and the first fragment of each text."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(edges), np.int64)
+        cut = np.ones(len(data), bool)
+        cut[1:] = self.free[data[:-1], data[1:]]
+        if self.by_space:
+            kind = _KIND[data]
+            wide = np.flatnonzero(data[:-1] == 0xC3)
+            wide = wide[~_NO_LETTER[data[wide + 1]]]
+            kind[wide] = kind[wide + 1] = 1
+            cut[1:] &= (kind[:-1] > 0) & (kind[1:] > 0) & ((kind[:-1] != kind[1:]) | (kind[1:] == 2))
+            starts, ends, _ = word_spans(data, edges)
+            inside = cut & ~_SPACE[data]
+            inside[starts] = True
+            cuts = np.flatnonzero(inside)
+            # A fragment ends at the next one of its word, or with the word.
+            stops = np.append(cuts[1:], len(data))
+            last = np.searchsorted(cuts, starts)[1:] - 1
+            if len(starts):
+                stops[np.append(last, len(cuts) - 1)] = ends
+            return cuts, stops, np.searchsorted(cuts, edges)
+        wide = _SPACE_ENDS[data[:-1]] & (data[:-1] >= 0x80)
+        if wide.any():
+            # Of two-byte characters only those that begin with 0xC2 can be white space.
+            lead = np.zeros(len(data) - 1, np.uint8)
+            lead[1:] = data[:-2]
+            cut[1:] &= ~wide | ((lead >= 0xC3) & (lead <= 0xDF))
+        cut[edges[:-1][edges[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, edges)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the edges of each text's ids."""
-        parts = [None if any(s in t for s in self.added) else self.fragments(t) for t in texts]
-        every = list(chain.from_iterable(p for p in parts if p))
-        new = [f for f in set(every).difference(self.index)]
-        if len(self.index) + len(new) > CACHE:
+        data, edges = text_buffer(texts)
+        body = data.tobytes()
+        special = [i for i in self._with_added(body, edges)]
+        starts, ends, first = self.cuts(data, edges)
+        hashes = span_hashes(data, starts, ends) | np.uint64(1)
+        place = self.index.find(hashes)
+        new, at = np.unique(np.where(place < 0, hashes, 0), return_index=True)
+        new, at = (new[1:], at[1:]) if len(new) and not new[0] else (new, at)
+        if self.index.n + len(new) > CACHE or self.bytes > CACHE_BYTES:
             self._clear()
-            new = list(set(every))
-        self._keep(new)
-        # A fragment's place in the cache stands for its ids from here on.
-        place = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+            new, at = np.unique(hashes, return_index=True)
+        if len(new):
+            self._keep(new, [body[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            place = self.index.find(hashes)
         sizes = self.size[place]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.at[place] - ends + sizes, sizes) + np.arange(total)]
-        ends = np.concatenate(([0], ends))
-        counts = np.cumsum([0] + [len(p or ()) for p in parts])
-        edges = ends[counts]
-        if any(p is None for p in parts):
-            rows = [
-                np.array(self.whole(t), np.int32) if p is None else ids[edges[i] : edges[i + 1]]
-                for i, (t, p) in enumerate(zip(texts, parts, strict=True))
-            ]
-            ids, edges = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
-        if any(len(f) > LONGEST_KEPT for f in new):
-            self._clear()
-        return ids, edges
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.ids[np.repeat(self.at[place] - stops + sizes, sizes) + np.arange(total)]
+        out = np.concatenate(([0], stops))[first]
+        if special:
+            rows = np.split(ids, out[1:-1])
+            for i in special:
+                rows[i] = np.array(self.whole(body[edges[i] : edges[i + 1]]), np.int32)
+            ids, out = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        return ids, out
+
+    def _with_added(self, body: bytes, edges: np.ndarray) -> list[int]:
+        """The texts that hold an added token's string."""
+        found = set()
+        for token in self.added:
+            at = body.find(token)
+            while at >= 0:
+                found.add(int(np.searchsorted(edges, at, side="right")) - 1)
+                at = body.find(token, at + 1)
+        return sorted(found)
 
 
 @lru_cache(maxsize=2)
@@ -191,7 +253,7 @@ def encoded_passes(
     own = encoder(spec)
     for batch in batches:
         for part in passes(batch, column):
-            ids, edges = own.encode(bytes_of(part.column(column)))
+            ids, edges = own.encode(part.column(column))
             yield part, ids, edges
 
 

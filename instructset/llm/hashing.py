@@ -51,32 +51,87 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from one running sum; ``lower`` takes A-Z as a-z."""
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum((_LOWER if lower else _BYTE)[data] * _power(_BASES[0], len(data)), out=total[1:])
+    back = _power(_inverse(_BASES[0]), len(data) + 1)
+    return mix((total[ends] - total[starts]) * back[starts])
+
+
+class HashIndex:
+    """64-bit keys, none of them 0, to the order in which they were added: open addressing, in bulk."""
+
+    def __init__(self, keys: np.ndarray = np.zeros(0, np.uint64)):
+        self.n = 0
+        self._room(len(keys))
+        self.add(keys)
+
+    def _room(self, n: int) -> None:
+        self.bits = max(10, int(3 * n + 1).bit_length())
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == 0
+            _, first = np.unique(np.where(free, at, -1), return_index=True)
+            first = first[free[first]]
+            self.keys[at[first]], self.rows[at[first]] = keys[first], rows[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, rows, at = keys[rest], rows[rest], (at[rest] + 1) & (len(self.keys) - 1)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that aren't in the index."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            old, rows = self.keys[held], self.rows[held]
+            self._room(2 * (self.n + len(keys)))
+            self._put(old, rows)
+        self._put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows, -1 for unknown keys."""
+        at = self._slot(keys)
+        have = self.keys[at]
+        out = np.where(have == keys, self.rows[at], -1)
+        left = np.flatnonzero((have != keys) & (have != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            have = self.keys[at[left]]
+            hit = have == keys[left]
+            out[left[hit]] = self.rows[at[left[hit]]]
+            left = left[~hit & (have != 0)]
+        return out
+
+
+def word_spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in ``data``, and the index of each text's first word."""
+    inside = ~_SPACE[data]
+    before = np.zeros(len(inside), bool)
+    before[1:] = inside[:-1]
+    # A text's first byte starts a word even if the text before it ends in one.
+    before[edges[:-1][edges[:-1] < edges[1:]]] = False
+    starts = np.flatnonzero(inside & ~before)
+    after = np.zeros(len(inside), bool)
+    after[:-1] = inside[1:] & before[1:]
+    ends = np.flatnonzero(inside & ~after) + 1
+    return starts, ends, np.searchsorted(starts, edges)
+
+
 class Words:
     """The words of a run of texts: ``hashes`` in order, ``starts``/``ends`` in ``data``, and
     ``first``, the index of each text's first word (one more entry than texts)."""
 
     def __init__(self, data: np.ndarray, edges: np.ndarray, lower: bool):
-        self.data, self.edges = data, edges
-        inside = ~_SPACE[data]
-        before = np.empty(len(inside), bool)
-        if len(inside):
-            before[0] = False
-            before[1:] = inside[:-1]
-            # A text's first byte starts a word even if the text before it ends in one.
-            heads = edges[:-1][edges[:-1] < edges[1:]]
-            before[heads] = False
-        self.starts = np.flatnonzero(inside & ~before)
-        after = np.empty(len(inside), bool)
-        if len(inside):
-            after[:-1] = inside[1:] & before[1:]
-            after[-1] = False
-        self.ends = np.flatnonzero(inside & ~after) + 1
-        self.first = np.searchsorted(self.starts, edges)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((_LOWER if lower else _BYTE)[data] * _power(_BASES[0], len(data)), out=total[1:])
-        back = _power(_inverse(_BASES[0]), len(data) + 1)
-        self.hashes = mix((total[self.ends] - total[self.starts]) * back[self.starts])
+        self.starts, self.ends, self.first = word_spans(data, edges)
+        self.hashes = span_hashes(data, self.starts, self.ends, lower)
 
     def runs(self, k: int, which: int = 1) -> np.ndarray:
         """Hashes of all runs of ``k`` words by the index of their first word, runs over the end

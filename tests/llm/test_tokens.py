@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -35,7 +36,7 @@ def texts():
 @pytest.mark.parametrize("name", FILES)
 def test_fragments_give_the_library_ids(texts, name):
     path = public_tokenizers.path(name)
-    ids, edges = bpe.Encoder(bpe.read_spec(path)).encode([t.encode() for t in texts])
+    ids, edges = bpe.Encoder(bpe.read_spec(path)).encode(pa.array(texts))
     want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     for i, w in enumerate(want):
         assert ids[edges[i] : edges[i + 1]].tolist() == w.ids, texts[i][:100]
@@ -47,7 +48,7 @@ def test_small_cache_changes_nothing(texts, monkeypatch):
     whole = Tokenizer.from_file(public_tokenizers.path(FILES[0]))
     for a in range(0, 400, 7):
         part = texts[5 + a : 12 + a]
-        ids, edges = own.encode([t.encode() for t in part])
+        ids, edges = own.encode(pa.array(part))
         assert [ids[x:y].tolist() for x, y in zip(edges[:-1], edges[1:])] == [
             e.ids for e in whole.encode_batch(part, add_special_tokens=False)
         ]
