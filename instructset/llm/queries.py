@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from instructset.llm import bpe, packing, simple8b
+from instructset.llm import bpe, langid, neardup, packing, pages, quality, simple8b, substring
 from instructset.llm.common import prepare, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,38 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    trees = langid.train(docs.where(~langid.held_out()))
+    found = langid.predict(texts(docs), trees)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query
+def op2_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), k=3, percent=85)
+
+
+@query
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.dedup(texts(table(spark, folder, "documents")))
+    return found.select("doc_id", "_removal.*", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = texts(table(spark, folder, "documents"))
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.judge(docs, model).select("doc_id", "_quality.*")
+
+
+@query
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
