@@ -1,19 +1,54 @@
-"""From raw documents to packed sequences, in stages that are written and reread."""
+"""From raw documents to packed training sequences, in stages that are written and reread."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from instructset.llm.common import materialize, prepare
+from instructset.llm import langid, neardup, packing, quality, substring
+from instructset.llm.common import materialize, prepare, table
 
-STAGES = []
-#: No SQL: the stages rest on trained models and on a tokenizer.
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose score says raw corpus rather than trusted text, go."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no learned language go."""
+    return langid.identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five words, similarity 0.8)."""
+    return neardup.representatives(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words and more that occur elsewhere are taken out of the texts."""
+    return substring.deduplicated(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of 2048."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", packed),
+]
+#: No SQL: the stages rest on trained models, on hashes and on a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        prepare(spark)
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

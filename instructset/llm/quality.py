@@ -127,7 +127,7 @@ def fit(
         return Model([0.0] * buckets, -math.inf)
     ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
     model = Model(np.round(ratio, 9).tolist(), -math.inf)
-    scored = narrow.join(F.broadcast(chosen), "doc_id").select("good", score("text", model).alias("score"))
+    scored = with_score(narrow.join(F.broadcast(chosen), "doc_id"), "text", model, "score").select("good", "score")
     model.threshold = best_cut(*(scored.dropna().toPandas()[c].to_numpy() for c in ("score", "good")))
     return model
 
@@ -142,20 +142,18 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     return float(cuts[int(np.argmax(below[0] - below[1]))])
 
 
-def score(text: str, model: Model) -> Column:
-    """Mean weight of the features of a text; null if it has none."""
-    # Folded to one array when the plan is made.
-    table = f"CAST(split('{','.join(map(repr, model.weights))}', ',') AS ARRAY<DOUBLE>)"
-    total = f"aggregate(f, 0D, (a, x) -> a + get({table}, CAST(x AS INT)))"
-    mean = f"transform(array({features(text, len(model.weights))}), f -> round({total} / size(f), 9))[0]"
-    return F.expr(mean)
+def with_score(df: DataFrame, text: str, model: Model, name: str) -> DataFrame:
+    """Adds the mean weight of the features of a text column; null if it has none."""
+    total = "aggregate(f, 0D, (a, x) -> a + get(_weights, CAST(x AS INT)))"
+    mean = f"transform(array({features(text, len(model.weights))}), f -> round({total} / nullif(size(f), 0), 9))[0]"
+    return df.withColumn("_weights", F.lit(np.array(model.weights))).withColumn(name, F.expr(mean)).drop("_weights")
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with one struct column ``_quality``: the base counts, base_failed, score, kept."""
     m = _MINE
     df = with_counts(docs, text)
-    df = df.withColumn(f"{m}score", score(f"{m}text", model))
+    df = with_score(df, f"{m}text", model, f"{m}score")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col(f"{m}n_words") < 10) | (100 * F.col(f"{m}n_repeat_words") > 20 * F.col(f"{m}n_words"))
     passed = F.coalesce(F.col(f"{m}score") >= F.lit(model.threshold), F.lit(False))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from instructset.llm import bpe, langid, neardup, packing, pages, quality, simple8b, substring
+from instructset.llm import bpe, fingerprint, langid, lmscore, neardup, packing, pages, quality, simple8b, substring
 from instructset.llm.common import prepare, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,17 @@ def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = lmscore.with_trust(texts(table(spark, folder, "documents")), table(spark, folder, "labels"))
+    return lmscore.score(docs, lmscore.fit(docs))
+
+
+@query
+def op7_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited_pairs(texts(table(spark, folder, "documents")))
+
+
 @query
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
