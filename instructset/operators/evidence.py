@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A group with more rows than this is kept in parts of so many rows.
+# Texts in a row of pooled evidence. A longer group goes on in further rows.
 PART_ROWS = 100_000
-# At most this many groups can be in parts, see below.
-MAX_SPLIT_GROUPS = 100_000
-# Position ranges of one source, more than any table has.
-_CHUNKS = 1 << 45
 
 
 def pooled_evidence(
@@ -22,34 +19,38 @@ def pooled_evidence(
     text_col: str,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """One row per group: its texts as an ordered array ``evidence``.
+    """A group's texts as ordered arrays ``evidence`` of at most ``part_rows``, with ``part``
+    telling their order from 0; put together they are the whole group. Null texts are dropped.
 
-    ``order`` is (source rank, position in source), integers that identify a row. Null
-    texts are dropped. A group can hold any share of the table, so one with more than
-    ``part_rows`` rows becomes several rows, ``part`` telling their order and ``first``
-    the one to start with; put together they are the whole group. A part is a range of
-    positions and can have no more rows than that.
+    ``order`` is (source rank, position in source), integers; texts tell ties apart. What part a
+    row is in follows from its place in its group alone, so other rows of the table change
+    nothing. A group can hold any share of the table: its rows are ranked inside ranges of
+    ``part_rows`` positions, and only the ranges' sizes are added up over the group.
     """
     source, position = order
-    rows = df.filter(F.col(text_col).isNotNull())
-    # One integer orders the parts, so that counting groups stays a hash aggregation.
-    chunk = F.col(source).cast("bigint") * _CHUNKS + F.expr(f"`{position}` div {part_rows}")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(chunk).alias("_first"))
-    # The threshold grows with the table: no more than MAX_SPLIT_GROUPS groups can hold
-    # more than one row in MAX_SPLIT_GROUPS, which bounds the broadcast.
-    total = rows.agg(F.count("*")).scalar()
-    large = sizes.filter(
-        F.col("_n") > F.greatest(F.lit(part_rows), F.ceil(total / F.lit(MAX_SPLIT_GROUPS)))
-    ).select(*keys, "_first")
-    parted = (
-        rows.select(*keys, source, position, text_col, chunk.alias("_chunk"))
-        .join(F.broadcast(large), list(keys), "left")
-        .withColumn("part", F.when(F.col("_first").isNotNull(), F.col("_chunk")))
-        .withColumn("first", F.coalesce(F.col("_chunk") == F.col("_first"), F.lit(True)))
+    rows = df.filter(F.col(text_col).isNotNull()).select(
+        *keys, source, position, text_col, F.expr(f"`{position}` div {part_rows}").alias("_range")
     )
-    entry = F.struct(F.col(source), F.col(position), F.col(text_col).alias("text"))
-    return parted.groupBy(*keys, "part", "first").agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]).alias("evidence")
+    ranges = [*keys, source, "_range"]
+    counts = rows.groupBy(*ranges).agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy(source, "_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*ranges).orderBy(position, text_col)) - 1
+    same = None
+    for name in ranges:
+        equal = F.col(f"r.{name}").eqNullSafe(F.col(f"s.{name}"))
+        same = equal if same is None else same & equal
+    placed = (
+        rows.withColumn("_inside", inside)
+        .alias("r")
+        .join(starts.alias("s"), same)
+        .select("r.*", (F.col("s._start") + F.col("_inside")).alias("_place"))
+    )
+    entry = F.struct("_place", F.col(text_col).alias("text"))
+    return (
+        placed.withColumn("part", F.expr(f"_place div {part_rows}"))
+        .groupBy(*keys, "part")
+        .agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]).alias("evidence"))
     )
 
 

@@ -82,6 +82,17 @@ def _is_large(vocabulary: Vocabulary) -> bool:
     return vocabulary.size + len(vocabulary.specials) > COMMON_IDS
 
 
+_last_index: list[tuple[pa.Array, pd.Index]] = []
+
+
+def _index_of(words: Broadcast) -> pd.Index:
+    """The hash table of a broadcast list of tokens, made once in a worker for all its batches."""
+    listed = words.value
+    if not _last_index or _last_index[0][0] is not listed:
+        _last_index[:] = [(listed, pd.Index(listed.to_numpy(zero_copy_only=False)))]
+    return _last_index[0][1]
+
+
 def _look_up(values: Column, words: Broadcast, to_ids: bool) -> Column:
     """Each array element replaced by its id or token; null where it has none here."""
     target = T.IntegerType() if to_ids else T.StringType()
@@ -91,7 +102,8 @@ def _look_up(values: Column, words: Broadcast, to_ids: bool) -> Column:
         table = words.value
         flat = arrays.flatten()
         if to_ids:
-            found = pc.index_in(flat, value_set=table.cast(flat.type))
+            at = _index_of(words).get_indexer(flat.to_numpy(zero_copy_only=False))
+            found = pa.array(at, pa.int32(), mask=at < 0)
         else:
             known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
             found = table.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
@@ -107,8 +119,9 @@ def _resolve_rare(
 ) -> DataFrame:
     """Fill the nulls of ``found`` from ``rare`` (``_value``, ``_result``).
 
-    Only array elements that were not among the common ones are spread out and shuffled,
-    and each of these is rare, so no key of the join is hot.
+    Only array elements that were not among the common ones are spread out and shuffled.
+    A value that the vocabulary lacks can still be frequent; adaptive execution splits such
+    a key on the side of the rows, as a left join allows.
     """
     gaps = F.array_compact(
         F.transform(

@@ -207,12 +207,12 @@ def build_question_answers(
 ) -> DataFrame:
     """Answers in their split, evidence from all: ``split, part, input, output``.
 
-    ``part`` is null for a whole prompt. Evidence too large for one row continues in rows
-    of later parts, each to be put behind the one before.
+    ``part`` is 0 for a prompt. Evidence too large for one row continues in rows of later
+    parts, each to be put behind the one before.
     """
     pooled = pooled_evidence(evidence, keys, order, candidate, part_rows)
     context = F.array_join("evidence", "\n")
-    text = F.when(F.col("first"), question_prompt(F.col(keys[1]), context)).otherwise(
+    text = F.when(F.col("part") == 0, question_prompt(F.col(keys[1]), context)).otherwise(
         F.concat(F.lit("\n"), context)
     )
     return answers_with_evidence(answers, pooled, keys).select(

@@ -35,10 +35,10 @@ MISSING = (
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its files give fewer tasks than that (small or
-    compressed files); a table with enough tasks is left as it is."""
+    """``df`` over all cores where it comes from fewer files than that (few, small or
+    compressed ones); others are left as they are. Only file names are asked for, so no job runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def read_jsonl(
@@ -61,37 +61,40 @@ def read_csv(
     path: str | Sequence[str],
     schema: T.StructType | None = None,
     separator: str = ",",
-    multi_line: bool = True,
+    multi_line: bool = False,
     missing: Sequence[str] = (),
 ) -> DataFrame:
-    """Delimited text with a header, RFC 4180 quoting.
+    """Delimited text with a header, RFC 4180 quoting. Columns are found by the header's
+    names, and a name of the schema that it lacks is an error, as is a file with another header.
 
-    Quoted line breaks need ``multi_line``, which reads a file in one task; turn it off for
-    large files that have none. Without a schema all columns are strings.
+    Quoted line breaks need ``multi_line``, which reads a file in one task. Without a schema all
+    columns are strings.
     """
-    reader = (
+    df = (
         spark.read.option("header", True)
         .option("sep", separator)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
+        .option("enforceSchema", False)
+        .csv(path)
     )
-    df = (reader.schema(schema) if schema is not None else reader).csv(path)
-    if not missing:
-        return df
-    return df.select(
-        *[
-            F.when(~F.col(f.name).isin(*missing), F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    wanted = schema.fields if schema is not None else df.schema.fields
+    lacking = [f.name for f in wanted if f.name not in df.columns]
+    if lacking:
+        raise ValueError(f"the header has no column {', '.join(lacking)}, only {', '.join(df.columns)}")
+
+    def value(field: T.StructField) -> Column:
+        text = F.col(f"`{field.name}`")
+        text = F.when(~text.isin(*missing), text) if missing else text
+        return text.cast(field.dataType).alias(field.name)
+
+    return df.select(*map(value, wanted))
 
 
 def read_tsv(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = True
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
     return read_csv(spark, path, schema, "\t", multi_line, MISSING)
 
@@ -105,7 +108,7 @@ def split_of(df: DataFrame, names: Sequence[str], by_folder: bool = False) -> Co
     """Split name from the file path: the folder the file lies in, or the start of its
     name. Use it on a table as it was read."""
     any_name = "|".join(names)
-    pattern = rf"/({any_name})/[^/]*$" if by_folder else rf"/({any_name})[^/]*$"
+    pattern = rf"/({any_name})/[^/]*$" if by_folder else rf"/({any_name})(?:[^/]*|\.[^/]*/[^/]*)$"
     found = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     return F.when(found != "", found)
 
@@ -129,7 +132,7 @@ def read_ranked_tsv(
     folder: str,
     schema: T.StructType,
     splits: Sequence[str] = ("dev", "test", "train"),
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """``folder/<split>.csv``, tab-separated, with ``split``, ``source_rank`` (the place of
     the split in ``splits``) and ``pos`` (the place of the row)."""
@@ -141,7 +144,7 @@ def read_ranked_tsv(
 
 def read_named_dataset(spark: SparkSession, root: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """All splits of a local dataset, ``root/<split>/*`` in any format."""
-    df = spark.read.schema(schema).option("pathGlobFilter", f"*.{fmt}*").format(
+    df = spark.read.schema(schema).option("pathGlobFilter", f"*.{fmt}*").option("mode", "FAILFAST").format(
         "json" if fmt in ("json", "jsonl") else fmt
     ).load(f"{root}/*")
     return df.withColumn(
@@ -150,15 +153,10 @@ def read_named_dataset(spark: SparkSession, root: str, schema: T.StructType, fmt
 
 
 def read_rungs(spark: SparkSession, folder: str, schema: T.StructType = schemas.PAIR) -> DataFrame:
-    """All ``train_<rung>.json*`` files of a folder, with the column ``rung``."""
-    df = (
-        spark.read.schema(schema)
-        .option("mode", "FAILFAST")
-        .option("pathGlobFilter", "train_*.json*")
-        .json(folder)
-    )
+    """All ``train_<rung>.json*`` files, or folders of files, in a folder, with the column ``rung``."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/train_*.json*")
     return df.withColumn(
-        "rung", F.regexp_extract(F.col("_metadata.file_name"), r"^train_([^.]+)\.", 1)
+        "rung", F.regexp_extract(F.col("_metadata.file_path"), r"/train_([^./]+)\.json[^/]*(?:/[^/]*)?$", 1)
     )
 
 
@@ -179,15 +177,23 @@ def pair_columns(
     return chosen[0], chosen[1]
 
 
+def json_columns(spark: SparkSession, path: str, records: int = 1000) -> list[str]:
+    """Keys of the first records of a JSON-lines file, in order of appearance."""
+    first = spark.read.text(path).limit(records).select(F.json_object_keys("value").alias("keys"))
+    return list(dict.fromkeys(k for row in first.collect() for k in row.keys or ()))
+
+
 def load_pairs(
     spark: SparkSession,
     files: Mapping[str, str | None],
     schema: T.StructType | None = None,
     text_column: str | None = None,
     summary_column: str | None = None,
+    dataset: str | None = None,
 ) -> DataFrame:
     """Pair files by split (``train``, ``validation``, ``test``) as ``split, input,
-    output``; the format follows from the extension."""
+    output``; the format follows from the extension, the columns from the names asked for, the
+    data set, or the file (its first two)."""
     given = {split: path for split, path in files.items() if path}
     if not given:
         raise ValueError("need a training, validation, or test file")
@@ -198,9 +204,15 @@ def load_pairs(
             raise ValueError(f"{path!r} should be one of: {', '.join(PAIR_EXTENSIONS)}")
         if extension == "csv":
             df = read_csv(spark, path, schema)
+            source, target = pair_columns(df.columns, text_column, summary_column, dataset)
         else:
-            df = read_jsonl(spark, path, schema or schemas.PAIR)
-        source, target = pair_columns(df.columns, text_column, summary_column)
+            columns = schema.names if schema is not None else json_columns(spark, path)
+            source, target = pair_columns(columns, text_column, summary_column, dataset)
+            lacking = [c for c in (source, target) if c not in columns]
+            if lacking:
+                raise ValueError(f"{path!r} has no {', '.join(lacking)}, only {', '.join(columns)}")
+            own = T.StructType([T.StructField(c, T.StringType()) for c in (source, target)])
+            df = read_jsonl(spark, path, schema or own)
         tables.append(
             df.select(
                 F.lit(split).alias("split"),

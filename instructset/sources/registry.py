@@ -20,10 +20,12 @@ INSTRUCTION_NAME = "orca"
 TASK_NAME = "esci_task2"
 
 
-def load_instructions(spark: SparkSession, name: str, paths: Mapping[str, str]) -> DataFrame:
-    """The first 50,000 rows of a Parquet file of questions and responses."""
-    table = read_parquet(spark, paths[name], schemas.INSTRUCTION.names)
-    first = first_rows(with_row_index(table), "pos", INSTRUCTION_ROWS, must_exist=True)
+def load_instructions(
+    spark: SparkSession, name: str, paths: Mapping[str, str], rows: int | None = INSTRUCTION_ROWS
+) -> DataFrame:
+    """The first ``rows`` rows of a Parquet file of questions and responses; ``None`` takes all."""
+    table = with_row_index(read_parquet(spark, paths[name], schemas.INSTRUCTION.names))
+    first = first_rows(table, "pos", rows, must_exist=True)
     return first.select("pos", F.col("question").alias("prompt"), "response")
 
 

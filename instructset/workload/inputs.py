@@ -3,7 +3,7 @@ DataFrame and as the same thing in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from instructset.functions.text import WORD
@@ -61,6 +61,14 @@ def titled_pairs(t: Tables) -> DataFrame:
     )
 
 
+#: A turn is a 32-bit integer, so no two turns share an id.
+ID = "conv_id * 4294967296 + turn"
+
+
+def turn_id() -> Column:
+    return F.col("conv_id") * (1 << 32) + F.col("turn")
+
+
 def chat(t: Tables) -> DataFrame:
     """User turns with the assistant turn that follows, and the system text of their
     conversation, if any. Joined on (conversation, turn), which no conversation makes hot."""
@@ -72,12 +80,12 @@ def chat(t: Tables) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
     )
     return asked.join(answered, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "prompt", "response"
+        turn_id().alias("id"), "conv_id", "prompt", "response"
     )
 
 
-CHAT = """chat AS (
-    SELECT u.conv_id * 1000 + u.turn AS id, u.conv_id, u.text AS prompt, a.text AS response
+CHAT = f"""chat AS (
+    SELECT u.{ID.replace("turn", "u.turn")} AS id, u.conv_id, u.text AS prompt, a.text AS response
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
     WHERE u.role = 'user' AND a.role = 'assistant')"""
 

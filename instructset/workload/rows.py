@@ -415,18 +415,16 @@ def _(t):
 def _(t):
     path = _copy(t, "csv")
     writers.write_csv(t.documents.select("doc_id", "text", "lang", "source"), path)
-    return readers.read_csv(t.spark, path, T.StructType.fromDDL(DOCUMENT))
+    return readers.read_csv(t.spark, path, T.StructType.fromDDL(DOCUMENT), multi_line=True)
 
 
-@query("split_folders_scan", "SELECT lang AS split, doc_id, text FROM documents")
+@query("split_folders_scan", "SELECT coalesce(lang, 'none') AS split, doc_id, text FROM documents")
 def _(t):
     path = _copy(t, "splits")
-    for lang in ("de", "en", "es", "fr"):
-        rows = t.documents.filter(F.col("lang") == lang).select("doc_id", "text")
-        writers.write_jsonl(rows, f"{path}/{lang}")
-    return readers.read_named_dataset(
-        t.spark, path, T.StructType.fromDDL("doc_id bigint, text string"), "json"
-    )
+    rows = t.documents.select(F.coalesce("lang", F.lit("none")).alias("split"), "doc_id", "text")
+    writers.write_jsonl(rows, path, by="split")
+    named = readers.read_named_dataset(t.spark, path, T.StructType.fromDDL("doc_id bigint, text string"), "json")
+    return named.withColumn("split", F.substring_index("split", "=", -1))
 
 
 @query(
@@ -440,7 +438,42 @@ def _(t):
         F.col("prompt").alias("input"),
         F.col("response").alias("output"),
     )
-    writers.write_jsonl(rows, path, by="rung")
-    return readers.read_split_folders(
-        t.spark, path, readers.schemas.PAIR, ("rung=long", "rung=short")
-    ).select(F.substring_index("split", "=", -1).alias("rung"), "input", "output")
+    for rung in ("long", "short"):
+        own = rows.filter(F.col("rung") == rung).drop("rung")
+        writers.write_jsonl(own, f"{path}/train_{rung}.jsonl")
+    return readers.read_rungs(t.spark, path).select("rung", "input", "output")
+
+
+PAIR_SQL = f"WITH {CHAT} SELECT 'train' AS split, prompt AS input, response AS output FROM chat"
+
+
+@query("pairs_scan", PAIR_SQL)
+def _(t):
+    """JSON pairs under a known data set's column names."""
+    path = _copy(t, "pairs") + ".jsonl"
+    rows = chat(t).select("conv_id", F.col("prompt").alias("article"), F.col("response").alias("highlights"))
+    writers.write_jsonl(rows, path)
+    return readers.load_pairs(t.spark, {"train": path}, dataset="cnn_dailymail")
+
+
+@query(
+    "tsv_ranked_scan",
+    """SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'train' END AS split,
+        (1 - doc_id % 2)::BIGINT AS source_rank, doc_id, source, lang FROM documents""",
+)
+def _(t):
+    """Ranked tab-separated files; their columns stand in another order than in the schema."""
+    path = _copy(t, "tsv")
+    for name, rest in (("dev", 0), ("train", 1)):
+        rows = t.documents.filter(F.col("doc_id") % 2 == rest).select("lang", "doc_id", "source")
+        rows.write.option("header", True).option("sep", "\t").csv(f"{path}/{name}.csv")
+    schema = T.StructType.fromDDL("doc_id bigint, source string, lang string")
+    read = readers.read_ranked_tsv(t.spark, path, schema, ("train", "dev"))
+    return read.select("split", F.col("source_rank").cast("bigint").alias("source_rank"), "doc_id", "source", "lang")
+
+
+@query("gzip_scan", "SELECT doc_id, text FROM documents")
+def _(t):
+    path = _copy(t, "gz")
+    t.documents.select("doc_id", "text").write.option("compression", "gzip").json(path)
+    return readers.read_jsonl(t.spark, path, T.StructType.fromDDL("doc_id bigint, text string"), partitions=8)

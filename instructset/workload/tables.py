@@ -16,6 +16,7 @@ from instructset.plans import assembly, building
 from instructset.session import materialize
 from instructset.sources.readers import spread
 from instructset.workload.inputs import (
+    ID,
     BAND,
     CHAT,
     EVIDENCE,
@@ -37,6 +38,7 @@ from instructset.workload.inputs import (
     sql_words,
     tagged,
     titled_pairs,
+    turn_id,
 )
 from instructset.workload.registry import query
 from instructset.workload.rows import QUALITY, SQL_HTML, SQL_TUPLE, sql_fill, sql_html, sql_strip
@@ -309,38 +311,61 @@ def _(t):
 
 @query(
     "evidence_join",
-    f"""WITH {EVIDENCE}, pooled AS (
-        SELECT ASIN, question, string_agg(candidate, {NL} ORDER BY source_rank, pos, candidate) AS context
-        FROM evidence WHERE candidate IS NOT NULL GROUP BY 1, 2)
-        SELECT ASIN, question, context, answer FROM answers JOIN pooled USING (ASIN, question)""",
+    f"""WITH {EVIDENCE}, placed AS (
+        SELECT *, (row_number() OVER (PARTITION BY ASIN, question ORDER BY source_rank, pos, candidate) - 1) // {ev.PART_ROWS} AS part
+        FROM evidence WHERE candidate IS NOT NULL), pooled AS (
+        SELECT ASIN, question, part, string_agg(candidate, {NL} ORDER BY source_rank, pos, candidate) AS context
+        FROM placed GROUP BY 1, 2, 3)
+        SELECT ASIN, question, part, context, answer FROM answers JOIN pooled USING (ASIN, question)""",
 )
 def _(t):
     keys = ["ASIN", "question"]
     pooled = ev.pooled_evidence(evidence(t), keys, ["source_rank", "pos"], "candidate")
     return ev.answers_with_evidence(answers(t), pooled, keys).select(
-        *keys, F.array_join("evidence", "\n").alias("context"), "answer"
+        *keys, "part", F.array_join("evidence", "\n").alias("context"), "answer"
     )
 
 
 @query(
     "question_answer_build",
-    f"""WITH {EVIDENCE}, pooled AS (
-        SELECT ASIN, question, string_agg(candidate, {NL} ORDER BY source_rank, pos, candidate) AS context
-        FROM evidence WHERE candidate IS NOT NULL GROUP BY 1, 2)
-        SELECT split, {sql_fill(P.QUESTION_PROMPT + chr(10) + "Question: %s" + chr(10) + "Context: %s", "question", "context")} AS input,
-            answer AS output FROM answers JOIN pooled USING (ASIN, question)""",
+    f"""WITH {EVIDENCE}, placed AS (
+        SELECT *, (row_number() OVER (PARTITION BY ASIN, question ORDER BY source_rank, pos, candidate) - 1) // {ev.PART_ROWS} AS part
+        FROM evidence WHERE candidate IS NOT NULL), pooled AS (
+        SELECT ASIN, question, part, string_agg(candidate, {NL} ORDER BY source_rank, pos, candidate) AS context
+        FROM placed GROUP BY 1, 2, 3)
+        SELECT split, part, CASE WHEN part = 0 THEN
+            {sql_fill(P.QUESTION_PROMPT + chr(10) + "Question: %s" + chr(10) + "Context: %s", "question", "context")}
+            ELSE {NL} || context END AS input, answer AS output FROM answers JOIN pooled USING (ASIN, question)""",
 )
 def _(t):
-    return building.build_question_answers(answers(t), evidence(t)).drop("part")
+    return building.build_question_answers(answers(t), evidence(t))
+
+
+SMALL_PART = 4
+
+
+@query(
+    "evidence_parts",
+    f"""WITH {EVIDENCE}, placed AS (
+        SELECT *, (row_number() OVER (PARTITION BY ASIN ORDER BY source_rank, pos, candidate) - 1) // {SMALL_PART} AS part
+        FROM evidence WHERE candidate IS NOT NULL)
+        SELECT ASIN, part, string_agg(candidate, {NL} ORDER BY source_rank, pos, candidate) AS context
+        FROM placed GROUP BY 1, 2""",
+)
+def _(t):
+    pooled = ev.pooled_evidence(evidence(t), ["ASIN"], ["source_rank", "pos"], "candidate", SMALL_PART)
+    return pooled.select("ASIN", "part", F.array_join("evidence", "\n").alias("context"))
 
 
 @query(
     "prediction_join",
-    f"""WITH {CHAT}, predictions AS (SELECT doc_id AS id, text AS model_output FROM documents)
+    f"""WITH {CHAT}, predictions AS (SELECT {ID} - 1 AS id, 'Answer: ' || text AS model_output FROM conversations WHERE role = 'assistant')
         SELECT id, prompt, response, model_output FROM chat JOIN predictions USING (id)""",
 )
 def _(t):
-    predictions = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("model_output"))
+    predictions = t.conversations.filter(F.col("role") == "assistant").select(
+        (turn_id() - 1).alias("id"), F.concat(F.lit("Answer: "), "text").alias("model_output")
+    )
     return scoring.with_predictions(chat(t).drop("conv_id"), predictions, "id")
 
 

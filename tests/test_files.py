@@ -71,14 +71,14 @@ def test_documents_keep_their_names(spark, tmp_path):
 def test_tsv_and_csv(spark, tmp_path):
     head = "qid\tASIN\tqa_pair_id\tquestion\tcandidate\tlabel\tsource\tconfidence\n"
     (tmp_path / "dev.csv").write_text(head + '1\tA\t2\tq1\t"say ""hi""\tnow\nok"\t1\ts\t0.5\n1\tA\t2\tq1\tNA\t0\ts\t0.1\n')
-    df = readers.read_tsv(spark, str(tmp_path / "dev.csv"), schemas.EVIDENCE)
+    df = readers.read_tsv(spark, str(tmp_path / "dev.csv"), schemas.EVIDENCE, multi_line=True)
     assert [r.candidate for r in df.collect()] == ['say "hi"\tnow\nok', None]
     split = spark.read.schema(schemas.EVIDENCE).csv(str(tmp_path))
     assert {r[0] for r in split.select(readers.split_of(split, ["dev", "test", "train"])).collect()} == {"dev"}
 
     pairs = spark.createDataFrame([('a "b"\nc', "NA"), (None, "x,y")], schemas.CSV_PAIR)
     writers.write_csv(pairs, str(tmp_path / "csv"))
-    back = readers.read_csv(spark, str(tmp_path / "csv"), schemas.CSV_PAIR).collect()
+    back = readers.read_csv(spark, str(tmp_path / "csv"), schemas.CSV_PAIR, multi_line=True).collect()
     assert sorted(back, key=str) == sorted(pairs.collect(), key=str)
 
 
@@ -93,6 +93,27 @@ def test_load_pairs(spark, tmp_path):
         readers.load_pairs(spark, {"train": "x.parquet"})
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "swapped.csv").write_text("target,inputs\nt,i\n")
+    assert readers.read_csv(spark, str(tmp_path / "swapped.csv"), schemas.CSV_PAIR).collect() == [("i", "t")]
+    (tmp_path / "other.csv").write_text("target,source\nt,i\n")
+    with pytest.raises(ValueError, match="no column inputs"):
+        readers.read_csv(spark, str(tmp_path / "other.csv"), schemas.CSV_PAIR)
+    put(tmp_path / "foreign.jsonl", [{"id": 1, "article": "a", "highlights": "h"}])
+    path = {"train": str(tmp_path / "foreign.jsonl")}
+    assert readers.load_pairs(spark, path, dataset="cnn_dailymail").collect() == [("train", "a", "h")]
+    assert readers.load_pairs(spark, path, text_column="highlights", summary_column="article").collect() == [("train", "h", "a")]
+    with pytest.raises(ValueError, match="has no document, summary"):
+        readers.load_pairs(spark, path, dataset="xsum")
+
+
+def test_a_broken_record_fails_every_json_reader(spark, tmp_path):
+    (tmp_path / "train").mkdir()
+    (tmp_path / "train" / "x.json").write_text('{"input": "a", "output": "b"}\n{"input": \n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        readers.read_named_dataset(spark, str(tmp_path), schemas.PAIR, "json").collect()
+
+
 def test_pair_columns():
     assert readers.pair_columns(["a", "b", "c"]) == ("a", "b")
     assert readers.pair_columns(["a", "document", "summary"], dataset="xsum") == ("document", "summary")
@@ -116,6 +137,7 @@ def test_registry(spark, tmp_path):
     assert [(r.pos, r.prompt) for r in task.orderBy("pos").collect()] == [(n, f"i{n}") for n in range(5)]
     with pytest.raises(NotImplementedError):
         registry.load_datasets(spark, "esci_task2_1k#other", paths)
+    assert [(r.prompt, r.response) for r in registry.load_instructions(spark, "my_orca", paths, None).collect()] == [("q", "r")]
     with pytest.raises(Exception, match="fewer than 50000 rows"):
         registry.load_datasets(spark, "my_orca", paths)["my_orca"].collect()
 

@@ -150,12 +150,23 @@ def test_evidence_of_a_large_group_is_whole(spark):
         parts = pooled_evidence(df, ["asin", "q"], ["src", "pos"], "text", part_rows).collect()
         assert max(len(p.evidence) for p in parts) <= part_rows
         seen = {}
-        for p in sorted(parts, key=lambda p: p.part or 0):
-            assert p.first == ((p.asin, p.q) not in seen)
+        for p in sorted(parts, key=lambda p: p.part):
+            assert (p.part == 0) == ((p.asin, p.q) not in seen)
             seen.setdefault((p.asin, p.q), []).extend(p.evidence)
         assert seen == expected
 
 
+def test_evidence_does_not_depend_on_other_rows(spark):
+    schema = "asin string, q string, src int, pos bigint, text string"
+    rows = evidence_rows()
+    more = [("Z", f"q{i % 7}", i % 3, 1000 + i, "more") for i in range(900)]
+    few, many = (
+        {(p.asin, p.q, p.part): p.evidence for p in pooled_evidence(df, ["asin", "q"], ["src", "pos"], "text", 16).collect()}
+        for df in (spark.createDataFrame(rows, schema), spark.createDataFrame(rows + more, schema))
+    )
+    assert len(many) > len(few) and few == {k: v for k, v in many.items() if k in few}
+
+
 def test_question_answers(spark):
     evidence = spark.createDataFrame(evidence_rows(), "ASIN string, question string, source_rank int, pos bigint, candidate string")
     answers = spark.createDataFrame(
