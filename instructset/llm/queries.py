@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from instructset.llm import bpe, fingerprint, langid, lmscore, neardup, packing, pages, quality, simple8b, substring
+from instructset.llm import bpe, fingerprint, langid, lmscore, neardup, oracles, packing, pages, quality, simple8b, substring
 from instructset.llm.common import prepare, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_neardup": oracles.NEAR_DUPLICATES, "op3_substrings": oracles.SUBSTRINGS}
 
 
 def query(run: Query) -> Query:
