@@ -2,9 +2,10 @@
 
 A draw keeps the rows with the smallest keys, where the key of a row is the MD5 of
 seed, salt and id: the same rows whatever the partitioning. The cut-off key of a draw
-is found from two scans of the id column alone: a histogram over key prefixes tells the
-bucket that holds it, and ranking the keys of this bucket tells the key. The
-rows are then chosen by one comparison in their scan, without a shuffle.
+is found from scans of the id column alone: a histogram over key prefixes tells the
+bucket that holds it, a second one over the next digits the part of that bucket, and ranking the
+keys of this part tells the key. The rows are then chosen by one comparison in their
+scan, without a shuffle. Ids are taken to be unique: rows with the same id are drawn together.
 
 The cut-offs are scalar subqueries over the table they are for. Write a selection down
 (``session.materialize``) before selecting from it again: that saves its scans from being
@@ -22,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from instructset.session import materialize
+
 # Hexadecimal digits of a key that make its bucket. A task adds at most 4,096 rows per salt
-# to the histogram of a draw, and ranks one bucket of ids and keys. Where
+# to each of the two histograms of a draw. Where
 # whole rows are ranked, buckets are finer: about one row in 65,536.
 _CUT_DIGITS = 3
 _RANK_DIGITS = 4
-_RANGE_BUCKETS = 1 << 16
+# Values of which every task may send its smallest to one.
+_TOP = 1 << 14
 
 # Sizes of the training ladders and of the held-out sets.
 LADDER = {
@@ -129,12 +133,23 @@ def cutoffs(
         )
         .select("draw", "salt", "prefix", (F.col("wanted") - F.col("before")).alias("nth"))
     )
-    # ``holding`` has one row per draw, which bounds the broadcast.
+    # ``holding`` and ``narrowed`` have one row per draw, which bounds the broadcasts. The digits
+    # that follow part the bucket again, so that one row in 16 million is ranked.
+    inside = keyed.withColumn("prefix", _prefix(F.col("key"), _CUT_DIGITS)).join(
+        F.broadcast(holding), ["salt", "prefix"]
+    )
+    inside = inside.withColumn("finer", F.substring("key", _CUT_DIGITS + 1, _CUT_DIGITS)).drop("prefix")
+    counts = inside.groupBy("draw", "nth", "finer").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("draw").orderBy("finer"))
+    narrowed = (
+        counts.withColumn("before", upto - F.col("n"))
+        .filter((F.col("before") < F.col("nth")) & (F.col("nth") <= F.col("before") + F.col("n")))
+        .select("draw", "finer", (F.col("nth") - F.col("before")).alias("place"))
+    )
     return (
-        keyed.withColumn("prefix", _prefix(F.col("key"), _CUT_DIGITS))
-        .join(F.broadcast(holding), ["salt", "prefix"])
+        inside.join(F.broadcast(narrowed), ["draw", "finer"])
         .withColumn("rank", F.row_number().over(W.partitionBy("draw").orderBy("key", "id")))
-        .filter(F.col("rank") == F.col("nth"))
+        .filter(F.col("rank") == F.col("place"))
         .select("draw", "key", "id")
     )
 
@@ -246,26 +261,29 @@ def shuffle_rows(
 
 def nth_smallest(df: DataFrame, order_col: str, n: int) -> DataFrame:
     """One row: the ``n``-th smallest value of a unique integer column, null if there
-    are fewer. Passes over that column alone, the last of which ranks one of 65,536
-    ranges of equal width: made for positions, which lie about evenly."""
+    are fewer. Only that column is read.
+
+    Up to ``_TOP`` values, each task sends its ``n`` smallest. Beyond, digits of the value are
+    counted from the left, each pass inside the range that the one before found, however
+    the values are spread, until one value is left."""
     values = df.select(F.col(order_col).cast("bigint").alias("v")).filter(F.col("v").isNotNull())
-    extent = values.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    low = extent.select("low").scalar()
-    # Divide before subtracting: the span of two BIGINTs need not be a BIGINT.
-    width = extent.select(
-        (F.expr(f"high div {_RANGE_BUCKETS} - low div {_RANGE_BUCKETS}") + F.lit(1)).cast("bigint")
-    ).scalar()
-    ranged = values.withColumn("bucket", F.floor((F.col("v") - low) / width))
-    counts = ranged.groupBy("bucket").agg(F.count("*").alias("n"))
-    holding = (
-        counts.withColumn("upto", F.sum("n").over(W.orderBy("bucket")))
-        .filter((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n))
-        .select("bucket", (F.lit(n) - (F.col("upto") - F.col("n"))).alias("nth"))
-    )
-    ranked = ranged.join(F.broadcast(holding), "bucket").withColumn(
-        "rank", F.row_number().over(W.orderBy("v"))
-    )
-    return ranked.filter(F.col("rank") == F.col("nth")).agg(F.max("v").alias("v"))
+    if n <= _TOP:
+        first = values.orderBy("v").limit(n).agg(F.max("v").alias("v"), F.count("*").alias("n"))
+        return first.select(F.when(F.col("n") == n, F.col("v")).alias("v"))
+    if values.count() < n:
+        return values.agg(F.max(F.lit(None).cast("bigint")).alias("v"))
+    # Four digits of 16 bits; the first is signed, as the value is.
+    found, left = 0, n
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftright("v", shift)
+        digit = digit if shift == 48 else digit.bitwiseAND(F.lit(0xFFFF))
+        inside = values if shift == 48 else values.filter(F.shiftright("v", shift + 16) == found)
+        for row in sorted(inside.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()):
+            if left <= row.n:
+                found = (found << 16) + row.d
+                break
+            left -= row.n
+    return df.sparkSession.range(1).select(F.lit(found).cast("bigint").alias("v"))
 
 
 def first_rows(
@@ -291,17 +309,13 @@ def early_stop(df: DataFrame, order_col: str, keep: Column, limit: int, enough:
     ``enough`` rows; the row that stops it is included.
 
     The stop is the first kept row past ``limit`` that is not before the ``enough``-th
-    kept row, which needs no running count.
+    kept row, which needs no running count. The positions of kept rows are written once, so that
+    ``keep`` is evaluated for them and for the rows up to the stop only.
     """
-    kept = df.filter(keep)
-    full = nth_smallest(kept, order_col, enough).scalar()
-    stop = (
-        kept.select(order_col)
-        .filter((F.col(order_col) > limit) & (F.col(order_col) >= full))
-        .agg(F.min(order_col))
-        .scalar()
-    )
-    return kept.filter(stop.isNull() | (F.col(order_col) <= stop))
+    kept = materialize(df.filter(keep).select(F.col(order_col).cast("bigint").alias("v")), "kept")
+    full = nth_smallest(kept, "v", enough).scalar()
+    stop = kept.filter((F.col("v") > limit) & (F.col("v") >= full)).agg(F.min("v")).scalar()
+    return df.filter(stop.isNull() | (F.col(order_col) <= stop)).filter(keep)
 
 
 def preview(df: DataFrame, id_col: str, n: int = 2, seed: int = SEED) -> DataFrame:

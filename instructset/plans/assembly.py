@@ -23,7 +23,7 @@ from instructset.operators.filters import (
     valid_mixed,
     within_length,
 )
-from instructset.operators.selection import SEED, first_rows, train_validation_split
+from instructset.operators.selection import SEED, exact_sample, first_rows, train_validation_split
 from instructset.operators.vocabulary import Vocabulary, encode
 from instructset.session import materialize
 
@@ -67,7 +67,8 @@ def assemble_instructions(
     select_eval: int = -1,
     seed: int = SEED,
 ) -> DataFrame:
-    """All data sets as one table ``task, split, pos, input_ids, labels``."""
+    """All data sets as one table ``task, split, pos, input_ids, labels``; ``select_train`` and
+    ``select_eval`` rows of each split (-1: all) are drawn at random."""
     parts = []
     for task, df in tables.items():
         rows = train_validation_split(df, pos, seed=seed).withColumn("task", F.lit(task))
@@ -76,8 +77,9 @@ def assemble_instructions(
             continue
         # A choice from a choice would find its cut-offs inside those of the other.
         stored = materialize(rows, "split")
-        for name, first in (("train", select_train), ("validation", select_eval)):
-            parts.append(first_rows(stored.filter(F.col("split") == name), pos, first))
+        for name, size in (("train", select_train), ("validation", select_eval)):
+            own = stored.filter(F.col("split") == name)
+            parts.append(own if size == -1 else exact_sample(own, pos, size, "select", seed))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -66,8 +66,9 @@ def test_shuffle_is_a_permutation(spark):
     assert order == sorted(range(300), key=lambda i: hashlib.md5(f"1:shuffle:{i}".encode()).hexdigest())
 
 
-@pytest.mark.parametrize("spread", [1, 1 << 40])
-def test_first_rows(spark, spread):
+@pytest.mark.parametrize("spread, top", [(1, 1 << 14), (1 << 40, 1 << 14), (1, 5), (1 << 40, 5)])
+def test_first_rows(spark, monkeypatch, spread, top):
+    monkeypatch.setattr(sel, "_TOP", top)
     df = spark.range(-50, 450).select((F.col("id") * spread).alias("id"))
     assert ids(sel.first_rows(df, "id", 70)) == [i * spread for i in range(-50, 20)]
     assert df.count() == sel.first_rows(df, "id", None).count() == sel.first_rows(df, "id", -1).count()
@@ -76,6 +77,14 @@ def test_first_rows(spark, spread):
         sel.first_rows(df, "id", 501, must_exist=True).collect()
 
 
+def test_clumped_positions(spark, monkeypatch):
+    monkeypatch.setattr(sel, "_TOP", 3)
+    values = [*range(1000), 1 << 50, -(1 << 60)]
+    df = spark.createDataFrame([(v,) for v in values], "id bigint")
+    for n in (1, 500, 1001, 1002):
+        assert ids(sel.first_rows(df, "id", n)) == sorted(values)[:n]
+
+
 def test_early_stop_against_a_loop(spark):
     rng = random.Random(5)
     for _ in range(6):
