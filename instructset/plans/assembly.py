@@ -24,7 +24,7 @@ from instructset.operators.filters import (
     within_length,
 )
 from instructset.operators.selection import SEED, exact_sample, first_rows, train_validation_split
-from instructset.operators.vocabulary import Vocabulary, encode
+from instructset.operators.vocabulary import Vocabulary, build_vocabulary, encode
 from instructset.session import materialize
 
 # Length limits in tokens.
@@ -32,6 +32,25 @@ MAX_LENGTH = 512
 MAX_SOURCE, MAX_TARGET, MAX_EVAL_TARGET = 512, 128, 1024
 
 
+def instruction_vocabulary(df: DataFrame) -> Vocabulary:
+    """A vocabulary of ``prompt, response`` rows that knows the words of the template too."""
+    filled = instruction_prompt(strip(F.col("prompt"))).alias("filled")
+    return build_vocabulary(df.select(filled, strip(F.col("response")).alias("answer")), "filled", "answer")
+
+
+def mixed_vocabulary(df: DataFrame) -> Vocabulary:
+    """A vocabulary of the whole texts of valid mixed rows, template and system message included."""
+    parts = [F.col(c) for c in ("pretrain_marker", "system_message", "prompt", "response")]
+    text = mixed_text(*parts, "", False).alias("text")
+    return build_vocabulary(df.filter(valid_mixed(*parts)).select(text), "text")
+
+
+def seq2seq_vocabulary(df: DataFrame, prefix: str = "") -> Vocabulary:
+    """A vocabulary of ``input, output`` rows and the prefix before their inputs."""
+    rows = df.select(prefixed(F.col("input"), prefix).alias("source"), "output")
+    return build_vocabulary(rows, "source", "output")
+
+
 def instruction_examples(
     df: DataFrame, id_col: str, vocabulary: Vocabulary, max_length: int = MAX_LENGTH
 ) -> DataFrame:

@@ -719,57 +719,110 @@ def _(t):
     return scoring.predict(spread(pairs, "id"), _load_echo)
 
 
+def _coded_sql(ctes: str, texts: str, items: str, parted: bool = False, key: str = "id") -> str:
+    """Ids of ``items`` (key, toks, given) in a vocabulary of ``texts`` (toks): all ids, and labels that
+    ignore the given part, or with ``parted`` the ids of the given part and those of the rest."""
+    place = "' ' ORDER BY place"
+    if parted:
+        ids = f"string_agg(CASE WHEN place <= given THEN token_id::VARCHAR END, {place})"
+        labels = f"string_agg(CASE WHEN place > given THEN token_id::VARCHAR END, {place})"
+    else:
+        ids = f"string_agg(token_id::VARCHAR, {place})"
+        labels = f"string_agg(CASE WHEN place <= given THEN '{arrays.IGNORE}' ELSE token_id::VARCHAR END, {place})"
+    return f"""WITH {ctes}, texts AS ({texts}), vocabulary AS (
+        SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 2 AS token_id
+        FROM (SELECT unnest(toks) AS token FROM texts) GROUP BY token UNION ALL SELECT '{P.EOS_TOKEN}', 1),
+    items AS ({items}), flat AS (
+        SELECT {key}, given, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS place FROM items)
+    SELECT {key}, {ids} AS input_ids, {labels} AS labels FROM flat JOIN vocabulary USING (token) GROUP BY {key}"""
+
+
+def _as_text(df, key: str):
+    return df.select(key, *(F.array_join(c, " ").alias(c) for c in ("input_ids", "labels")))
+
+
 SFT_TOKENS = f"""given AS (SELECT id, regexp_extract_all({sql_fill(P.INSTRUCTION_ONLY, sql_strip("prompt"))}, '{TOKEN}') AS g,
         regexp_extract_all({sql_strip("response")}, '{TOKEN}') AS r FROM chat)"""
 
 
 @query(
     "instruction_assembly",
-    f"""WITH {CHAT}, {SFT_TOKENS} SELECT id, (len(g) + len(r) + 1)::BIGINT AS n, len(g)::BIGINT AS ignored
-        FROM given WHERE len(g) + len(r) + 1 <= 512""",
+    _coded_sql(
+        f"{CHAT}, {SFT_TOKENS}",
+        "SELECT g AS toks FROM given UNION ALL SELECT r FROM given",
+        f"SELECT id, g || r || ['{P.EOS_TOKEN}'] AS toks, len(g) AS given FROM given WHERE len(g) + len(r) + 1 <= 512",
+    ),
 )
 def _(t):
     pairs = spread(chat(t), "id")
-    vocabulary = build_vocabulary(pairs, "prompt", "response")
-    return assembly.instruction_examples(pairs, "id", vocabulary).select(
-        "id",
-        F.size("input_ids").cast("bigint").alias("n"),
-        F.size(F.filter("labels", lambda x: x == arrays.IGNORE)).cast("bigint").alias("ignored"),
-    )
+    return _as_text(assembly.instruction_examples(pairs, "id", assembly.instruction_vocabulary(pairs)), "id")
+
+
+MIXED_TOKENS = f"""whole AS (SELECT id, CASE WHEN pretrain_marker = 1 THEN 0 ELSE
+        len(regexp_extract_all(system_message || chr(10) || chr(10) || {sql_fill(P.INSTRUCTION_ONLY, sql_strip("prompt"))}, '{TOKEN}')) END AS given,
+        regexp_extract_all(CASE WHEN pretrain_marker = 1 THEN {sql_strip("prompt")}
+            ELSE system_message || chr(10) || chr(10) || {sql_fill(P.INSTRUCTION_ONLY, sql_strip("prompt"))}
+            || {sql_strip("response")} END, '{TOKEN}') AS toks
+        FROM mixed WHERE pretrain_marker = 1 OR (system_message IS NOT NULL AND response IS NOT NULL))"""
 
 
 @query(
     "mixed_assembly",
-    f"""WITH {MIXED} SELECT id, least(512, 1 + len(regexp_extract_all(CASE WHEN pretrain_marker = 1 THEN {sql_strip("prompt")}
-        ELSE system_message || chr(10) || chr(10) || {sql_fill(P.INSTRUCTION_ONLY, sql_strip("prompt"))}
-            || {sql_strip("response")} END, '{TOKEN}')))::BIGINT AS n
-        FROM mixed WHERE pretrain_marker = 1 OR (system_message IS NOT NULL AND response IS NOT NULL)""",
+    _coded_sql(
+        f"{MIXED}, {MIXED_TOKENS}",
+        "SELECT toks FROM whole",
+        f"SELECT id, (toks || ['{P.EOS_TOKEN}'])[1:512] AS toks, given FROM whole",
+    ),
 )
 def _(t):
     rows = spread(mixed(t), "id")
-    vocabulary = build_vocabulary(rows, "prompt", "response")
-    return assembly.assemble_mixed(rows, "id", vocabulary).select(
-        "id", F.size("input_ids").cast("bigint").alias("n")
-    )
+    return _as_text(assembly.assemble_mixed(rows, "id", assembly.mixed_vocabulary(rows)), "id")
+
+
+SEQ2SEQ_TOKENS = f"""sides AS (SELECT pos, regexp_extract_all('summarize: ' || output, '{TOKEN}') AS a,
+        regexp_extract_all(input, '{TOKEN}') AS b, length(input) > 0 AND length(output) > 0 AS filled FROM pairs)"""
 
 
 @query(
     "seq2seq_assembly",
-    f"""WITH {TITLED_PAIRS}
-        SELECT pos, least(512, 1 + len(regexp_extract_all('summarize: ' || output, '{TOKEN}')))::BIGINT AS source_n,
-            least(128, 1 + len(regexp_extract_all(input, '{TOKEN}')))::BIGINT AS target_n
-        FROM pairs WHERE length(input) > 0 AND length(output) > 0""",
+    _coded_sql(
+        f"{TITLED_PAIRS}, {SEQ2SEQ_TOKENS}",
+        "SELECT a AS toks FROM sides UNION ALL SELECT b FROM sides",
+        f"""SELECT pos, a[1:511] || ['{P.EOS_TOKEN}'] || b[1:127] || ['{P.EOS_TOKEN}'] AS toks,
+            least(511, len(a)) + 1 AS given FROM sides WHERE filled""",
+        parted=True,
+        key="pos",
+    ),
 )
 def _(t):
     swapped = titled_pairs(t).select(
         "pos", F.col("output").alias("input"), F.col("input").alias("output")
     )
     pairs = materialize(swapped, "pairs")
-    vocabulary = build_vocabulary(pairs, "input", "output")
-    return assembly.assemble_seq2seq(pairs, "pos", vocabulary, prefix="summarize: ").select(
-        "pos",
-        F.size("input_ids").cast("bigint").alias("source_n"),
-        F.size("labels").cast("bigint").alias("target_n"),
+    vocabulary = assembly.seq2seq_vocabulary(pairs, "summarize: ")
+    return _as_text(assembly.assemble_seq2seq(pairs, "pos", vocabulary, prefix="summarize: "), "pos")
+
+
+@query(
+    "instruction_subset",
+    f"""WITH {CHAT}, keyed AS (
+        SELECT *, row_number() OVER (ORDER BY md5('1:validation:' || id)) AS v, count(*) OVER () AS total FROM chat),
+    split AS (SELECT *, v <= ceil(total * 0.001) AS held FROM keyed),
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY md5('1:select:' || id)) AS place FROM split),
+    texts AS (SELECT id, held, place, regexp_extract_all({sql_fill(P.INSTRUCTION_ONLY, sql_strip("prompt"))}, '{TOKEN}') AS g,
+        regexp_extract_all({sql_strip("response")}, '{TOKEN}') AS r FROM drawn)
+    SELECT 'chat' AS task, CASE WHEN held THEN 'validation' ELSE 'train' END AS split, id,
+        (len(g) + len(r) + 1)::BIGINT AS n, len(g)::BIGINT AS ignored
+    FROM texts WHERE (held OR place <= 40) AND len(g) + len(r) + 1 <= 512""",
+)
+def _(t):
+    """Forty training rows at random and the whole validation split."""
+    pairs = chat(t).select("id", "prompt", "response")
+    vocabulary = assembly.instruction_vocabulary(pairs)
+    rows = assembly.assemble_instructions({"chat": pairs}, vocabulary, "id", select_train=40)
+    ignored = F.size(F.filter("labels", lambda x: x == arrays.IGNORE))
+    return rows.select(
+        "task", "split", "id", F.size("input_ids").cast("bigint").alias("n"), ignored.cast("bigint").alias("ignored")
     )
 
 
