@@ -2,17 +2,18 @@
 
 ``rouge_n`` is a JVM expression. The longest common subsequence has none that is not
 quadratic; it runs in Arrow batches, on bit vectors that hold many table cells in a
-machine word. Where it is wanted, the n-gram scores are taken in the same pass.
+machine word.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Sequence
 from math import isqrt
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,6 +147,8 @@ def lcs_positions(left: list[str], right: list[str], masks: dict[str, int]) -> l
 def summary_hits(reference: list[list[str]], prediction: list[list[str]]) -> int:
     """Per reference line the union of its common subsequences with all predicted lines;
     a token counts no more often than it occurs on either side."""
+    if len(reference) == len(prediction) == 1:
+        return lcs_length(reference[0], prediction[0])
     spare = Counter(t for line in reference for t in line) & Counter(
         t for line in prediction for t in line
     )
@@ -164,34 +167,57 @@ def summary_hits(reference: list[list[str]], prediction: list[list[str]]) -> int
     return hits
 
 
-def _lines(text: str | None, stemming: bool) -> list[list[str]]:
-    lines = [re.findall(TOKEN, line.lower()) for line in (text or "").split("\n")]
-    return [[_stemmed(t) for t in line] for line in lines] if stemming else lines
+def line_tokens(text: Column, stemming: bool = False) -> Column:
+    """Tokens of each line; a missing text has one empty line."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), tokens)
+    return stemmed(lines) if stemming else lines
 
 
-def _f(hits: int, left: int, right: int) -> float:
-    return 2.0 * hits / (left + right) if hits else 0.0
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stemmed(lines: pa.Array) -> pa.Array:
+    """Lines with their tokens stemmed, each distinct token of a batch once."""
+    rows = pc.list_flatten(lines)
+    coded = pc.list_flatten(rows).dictionary_encode()
+    stems = pa.array([_stemmed(t) for t in coded.dictionary.to_pylist()], pa.string())
+    flat = stems.take(coded.indices)
 
+    def edges(lists: pa.Array) -> pa.Array:
+        return pa.array([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False).cumsum()], pa.int32())
 
-def pair_scores(reference: str | None, prediction: str | None, stemming: bool = False) -> tuple:
-    ref_lines, pred_lines = _lines(reference, stemming), _lines(prediction, stemming)
-    ref = [t for line in ref_lines for t in line]
-    pred = [t for line in pred_lines for t in line]
-    scores = []
-    for n in (1, 2):
-        left, right = (Counter(zip(*[side[k:] for k in range(n)])) for side in (ref, pred))
-        scores.append(_f((left & right).total(), left.total(), right.total()))
-    longest = lcs_length(ref, pred)
-    summed = longest if len(ref_lines) == len(pred_lines) == 1 else summary_hits(ref_lines, pred_lines)
-    return *scores, _f(longest, len(ref), len(pred)), _f(summed, len(ref), len(pred))
+    return pa.ListArray.from_arrays(edges(lines), pa.ListArray.from_arrays(edges(rows), flat))
 
 
-def all_scores(reference: Column, prediction: Column, stemming: bool = False) -> Column:
-    """``struct<rouge1, rouge2, rougeL, rougeLsum>`` of F-measures for two texts."""
+@F.arrow_udf(T.IntegerType())
+def longest_common(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence of two token arrays."""
+    return pa.array([lcs_length(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int32())
 
-    @F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in METRICS]))
-    def score(references: pd.Series, predictions: pd.Series) -> pd.DataFrame:
-        rows = [pair_scores(r, p, stemming) for r, p in zip(references, predictions)]
-        return pd.DataFrame(rows, columns=METRICS)
 
-    return score(reference, prediction)
+@F.arrow_udf(T.IntegerType())
+def summary_common(left: pa.Array, right: pa.Array) -> pa.Array:
+    """``summary_hits`` of two arrays of lines."""
+    return pa.array([summary_hits(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int32())
+
+
+def with_scores(
+    df: DataFrame, reference: str, prediction: str, stemming: bool = False, metrics: Sequence[str] = METRICS
+) -> DataFrame:
+    """Adds the F-measures named in ``metrics``. N-grams are JVM expressions; subsequences run in
+    Arrow batches, and only those that are asked for."""
+    unknown = set(metrics) - set(METRICS)
+    if unknown:
+        raise ValueError(f"{', '.join(sorted(unknown))} is not one of: {', '.join(METRICS)}")
+    df = df.withColumns(
+        {f"_{side}": line_tokens(F.col(name), stemming) for side, name in (("ref", reference), ("pred", prediction))}
+    )
+    df = df.withColumns({"_left": F.flatten("_ref"), "_right": F.flatten("_pred")})
+    sizes = F.size("_right"), F.size("_left")
+    for metric in metrics:
+        if metric == "rougeL":
+            score = f_measure(longest_common("_left", "_right"), *sizes)
+        elif metric == "rougeLsum":
+            score = f_measure(summary_common("_ref", "_pred"), *sizes)
+        else:
+            score = rouge_n(F.col("_left"), F.col("_right"), int(metric[-1]))
+        df = df.withColumn(metric, score)
+    return df.drop("_ref", "_pred", "_left", "_right")

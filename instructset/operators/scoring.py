@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,14 +16,14 @@ from instructset.functions.prompts import generation_prompt, without_echo
 from instructset.functions.text import sentence_lines, word_count
 
 def rouge_scores(
-    df: DataFrame, reference: str = "output", prediction: str = "model_output", stemming: bool = False
+    df: DataFrame,
+    reference: str = "output",
+    prediction: str = "model_output",
+    stemming: bool = False,
+    metrics: Sequence[str] = rouge.METRICS,
 ) -> DataFrame:
-    """Adds the four F-measures of each row. A missing text counts as empty."""
-    return (
-        df.withColumn("_rouge", rouge.all_scores(F.col(reference), F.col(prediction), stemming))
-        .select("*", "_rouge.*")
-        .drop("_rouge")
-    )
+    """Adds F-measures of each row. A missing text counts as empty."""
+    return rouge.with_scores(df, reference, prediction, stemming, metrics)
 
 
 def long_metrics(wide: DataFrame, names, by=()) -> DataFrame:
@@ -40,6 +40,7 @@ def rouge_report(
     sentence_per_line: bool = False,
     percent: bool = False,
     by=(),
+    metrics: Sequence[str] = rouge.METRICS,
 ) -> DataFrame:
     """Corpus means as ``(metric, value)``; with ``percent`` times 100, four digits. ``by``
     names columns, such as the rung of a sweep, that have means of their own."""
@@ -50,14 +51,14 @@ def rouge_report(
                 prediction: sentence_lines(F.col(prediction)),
             }
         )
-    scored = rouge_scores(df, reference, prediction, stemming)
+    scored = rouge_scores(df, reference, prediction, stemming, metrics)
 
     def mean(name: str) -> Column:
         value = F.avg(name)
         return F.round(value * 100, 4) if percent else value
 
-    means = scored.groupBy(*by).agg(*[mean(n).alias(n) for n in rouge.METRICS])
-    return long_metrics(means, rouge.METRICS, by)
+    means = scored.groupBy(*by).agg(*[mean(n).alias(n) for n in metrics])
+    return long_metrics(means, metrics, by)
 
 
 def generated_length(df: DataFrame, ids: str, pad: int) -> DataFrame:

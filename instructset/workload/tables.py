@@ -682,17 +682,32 @@ ROUGE_L = f"""WITH {CHAT}, toks AS (
 
 @query("rouge_l", ROUGE_L)
 def _(t):
-    scored = scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response")
+    scored = scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response", metrics=["rougeL"])
     return scored.select("id", F.round("rougeL", 6).alias("rougeL"))
 
 
 @query("rouge_lsum")
 def _(t):
-    scored = scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response")
+    scored = scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response", metrics=["rougeLsum"])
     return scored.select("id", F.round("rougeLsum", 6).alias("rougeLsum"))
 
 
-@query("rouge_report")
+def _mean_sql(n: int) -> str:
+    return f"SELECT 'rouge{n}' AS metric, round(avg(f), 6) AS value FROM ({_rouge_sql(n)})"
+
+
+@query(
+    "rouge_report",
+    f"""{_mean_sql(1)} UNION ALL {_mean_sql(2)}
+        UNION ALL SELECT 'rougeL', round(avg("rougeL"), 6) FROM ({ROUGE_L})""",
+)
+def _(t):
+    pairs = spread(chat(t), "id")
+    report = scoring.rouge_report(pairs, "prompt", "response", metrics=["rouge1", "rouge2", "rougeL"])
+    return report.select("metric", F.round("value", 6).alias("value"))
+
+
+@query("rouge_all")
 def _(t):
     return scoring.rouge_report(spread(chat(t), "id"), "prompt", "response")
 
