@@ -21,8 +21,9 @@ from instructset.functions.text import (
 )
 from instructset.operators import filters as flt
 from instructset.operators.selection import first_rows
+from instructset.plans import evaluation
 from instructset.plans.building import tagged_sentences
-from instructset.sources import readers, writers
+from instructset.sources import readers, registry, writers
 from instructset.session import shared_dir
 from instructset.workload.inputs import (
     BAND,
@@ -477,3 +478,39 @@ def _(t):
     path = _copy(t, "gz")
     t.documents.select("doc_id", "text").write.option("compression", "gzip").json(path)
     return readers.read_jsonl(t.spark, path, T.StructType.fromDDL("doc_id bigint, text string"), partitions=8)
+
+
+@query(
+    "prediction_lines",
+    f"WITH {CHAT} SELECT {sql_strip("replace(response, chr(10), ' ')")} AS value FROM chat",
+)
+def _(t):
+    path = _copy(t, "predictions")
+    rows = chat(t).select("id", F.replace("response", F.lit("\n"), F.lit(" ")).alias("model_output"))
+    writers.write_predictions(rows, path, "id")
+    return t.spark.read.text(path)
+
+
+@query(
+    "metrics_scan",
+    """SELECT 'model-small' AS run, 'train' AS split, 'train_samples' AS metric, count(*)::DOUBLE AS value FROM documents
+        UNION ALL SELECT 'model-small', 'eval', 'eval_samples', least(50, count(*))::DOUBLE FROM documents""",
+)
+def _(t):
+    path = _copy(t, "metrics")
+    writers.write_metrics(evaluation.samples(t.documents, None, "train"), path, "model/small", "train")
+    writers.write_metrics(evaluation.samples(t.documents, 50, "eval"), path, "model/small", "eval")
+    return t.spark.read.schema("run string, split string, metric string, value double").json(path)
+
+
+@query(
+    "instruction_rows",
+    f"""WITH {CHAT} SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS pos, prompt, response
+        FROM chat QUALIFY pos < 20""",
+)
+def _(t):
+    """The first twenty rows of a Parquet table of questions, in the order of its file."""
+    path = _copy(t, "orca")
+    rows = chat(t).select("id", F.col("prompt").alias("question"), "response")
+    rows.repartition(1).sortWithinPartitions("id").drop("id").write.parquet(path)
+    return registry.load_instructions(t.spark, "orca", {"orca": path}, rows=20)
