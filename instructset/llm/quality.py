@@ -3,9 +3,9 @@
 Two multinomials over hashed features (words and runs of marks, and pairs of neighbours) are
 estimated: one from trusted rows, one from the whole raw corpus. A document's score is the mean over
 its features of the log of their ratio, so long texts weigh no more than short ones. It is kept if it
-passes the base rules and its score reaches a threshold. The threshold is the score that best
-tells trusted rows (good and not toxic) from those labelled bad (highest share of trusted rows at or over it
-less share of bad ones), the lowest on ties.
+passes the base rules and its score reaches a threshold. The threshold is the lowest score that tells
+trusted rows (good and not toxic) from those labelled bad as well as any score does, within ``SLACK`` (share of
+trusted rows at or over it less share of bad ones), on trusted rows that didn't teach the target.
 
 Native: all work on texts is column expressions, with no shuffle of texts. Counting sends one row
 per feature bucket from each task; the driver holds ``buckets`` pairs of counts and the scores of at
@@ -31,6 +31,7 @@ from instructset.llm.common import SPACES
 
 _FEATURE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 _MINE = "_quality_"
+SLACK = 0.01
 
 
 @dataclass
@@ -111,14 +112,22 @@ def fit(
     )
     good = _sampled(marks.where("quality = 1 AND toxic = 0").select("doc_id"), trusted)
     bad = _sampled(marks.where("quality = 0").select("doc_id"), others)
+    # Half of the good rows teach the target, the other half sets the threshold, so that the threshold
+    # doesn't rest on texts whose words the target has seen; a single row does both.
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    halves = {r.half: r.n for r in good.groupBy(half.alias("half")).agg(F.count("*").alias("n")).collect()}
+    parted = len(halves) == 2
+    teaches, sets = (half == 0, half == 1) if parted else (F.lit(True), F.lit(True))
     # Both have a bounded number of ids.
-    chosen = good.withColumn("good", F.lit(1)).union(bad.withColumn("good", F.lit(0)))
+    good = good.select("doc_id", F.lit(1).alias("good"), teaches.cast("int").alias("teaches"), sets.alias("sets"))
+    bad = bad.select("doc_id", F.lit(0).alias("good"), F.lit(0).alias("teaches"), F.lit(True).alias("sets"))
+    chosen = good.union(bad)
     narrow = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counted = (
         narrow.join(F.broadcast(chosen), "doc_id", "left")
-        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(F.expr(features("text", buckets))).alias("bucket"))
+        .select(F.coalesce("teaches", F.lit(0)).alias("teaches"), F.explode(F.expr(features("text", buckets))).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+        .agg(F.count("*").alias("raw"), F.sum("teaches").alias("target"))
         .toPandas()
     )
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -127,19 +136,22 @@ def fit(
         return Model([0.0] * buckets, -math.inf)
     ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
     model = Model(np.round(ratio, 9).tolist(), -math.inf)
-    scored = with_score(narrow.join(F.broadcast(chosen), "doc_id"), "text", model, "score").select("good", "score")
-    model.threshold = best_cut(*(scored.dropna().toPandas()[c].to_numpy() for c in ("score", "good")))
+    scored = with_score(narrow.join(F.broadcast(chosen.where("sets")), "doc_id"), "text", model, "score").select("good", "score")
+    rows = scored.dropna().toPandas()
+    model.threshold = best_cut(rows.score.to_numpy(), rows.good.to_numpy())
     return model
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
-    """The lowest score that best tells good rows (at or over it) from the others."""
+    """The lowest score that tells good rows (at or over it) from the others as well as any does, or
+    worse by ``SLACK`` at most, since keeping a bad document costs less than losing a good one."""
     if not len(scores) or not (good == 0).any():
         return -math.inf
     cuts, place = np.unique(scores, return_inverse=True)
     of = [np.bincount(place, weights=good == g, minlength=len(cuts)) for g in (0, 1)]
     below = [np.concatenate(([0], np.cumsum(x)[:-1])) / max(1, x.sum()) for x in of]
-    return float(cuts[int(np.argmax(below[0] - below[1]))])
+    told = below[0] - below[1]
+    return float(cuts[int(np.flatnonzero(told >= told.max() - SLACK)[0])])
 
 
 def with_score(df: DataFrame, text: str, model: Model, name: str) -> DataFrame:
@@ -163,4 +175,9 @@ def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, all columns as they were."""
-    return judge(docs, fit(docs, labels)).where("_quality.kept").drop("_quality")
+    judged = judge(docs, fit(docs, labels))
+    # The optimizer would move a filter on the verdict below the steps that it is made in, and write
+    # each of them out once for every use of the one before. It moves nothing below a
+    # column that depends on the task, which this test, true of every task, does.
+    verdict = F.col("_quality.kept") & (F.spark_partition_id() >= 0)
+    return judged.withColumn("_quality", verdict).where("_quality").drop("_quality")

@@ -117,8 +117,11 @@ def test_log_likelihood_ratio(spark, docs_of):
         t = re.findall(r"\w+|[^\w\s]+", text or "")
         return t + list(zip(t, t[1:]))
 
+    half = spark.range(2).selectExpr("id", "pmod(xxhash64(id, 'half'), 2) AS half").collect()
+    both = len({r.half for r in half}) == 1
+    teach = [r.id for r in half if both or r.half == 0]
     raw = Counter(f for _, t in rows for f in features(t))
-    target = Counter(f for i, t in rows if i < 2 for f in features(t))
+    target = Counter(f for i, t in rows if i in teach for f in features(t))
     n_raw, n_target = sum(raw.values()), sum(target.values())
 
     def score(text):
@@ -129,7 +132,8 @@ def test_log_likelihood_ratio(spark, docs_of):
     got = {r.doc_id: r._quality for r in quality.judge(docs, model).collect()}
     for i, t in rows:
         assert got[i].score == (pytest.approx(score(t), abs=1e-6) if t else None)
-    assert model.threshold == pytest.approx(min(score(t) for _, t in rows[:2]), abs=1e-6)
+    held = [r.id for r in half if both or r.half == 1]
+    assert model.threshold == pytest.approx(min(score(rows[i][1]) for i in held), abs=1e-6)
 
 
 def test_quality_without_labels_or_rows(spark, docs_of, folder_of):
