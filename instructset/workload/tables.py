@@ -534,8 +534,12 @@ def _(t):
 
 @query(
     "pad_batch",
-    f"""WITH {SIZED} SELECT floor(place / 8)::BIGINT AS batch_id, count(*) AS rows, max(n) AS width,
-        sum(n)::BIGINT AS filled FROM placed GROUP BY 1""",
+    f"""WITH {ENCODED}, {SIZED}, dealt AS (
+        SELECT floor(place / 8)::BIGINT AS batch_id, place, n, ids, max(n) OVER (PARTITION BY floor(place / 8)) AS width
+        FROM placed JOIN encoded USING (doc_id))
+        SELECT batch_id, count(*) AS rows, max(n) AS width, sum(n)::BIGINT AS filled,
+            string_agg(array_to_string(ids || list_resize([]::BIGINT[], width - n, 0), ' '), ';' ORDER BY place) AS input_ids
+        FROM dealt GROUP BY 1""",
 )
 def _(t):
     _, coded = _encoded(t)
@@ -550,6 +554,7 @@ def _(t):
         F.size("input_ids").cast("bigint").alias("rows"),
         F.size(F.get("input_ids", F.lit(0))).cast("bigint").alias("width"),
         F.size(F.filter(F.flatten("attention_mask"), lambda m: m)).cast("bigint").alias("filled"),
+        F.array_join(F.transform("input_ids", lambda row: F.array_join(row, " ")), ";").alias("input_ids"),
     )
 
 
