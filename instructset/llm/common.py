@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from instructset.session import materialize, ship_package
@@ -39,6 +39,21 @@ def sliced(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values, kind))
 
 
+def id_order() -> Column:
+    """The id as a number that puts rows without one first."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+
+
+def id_range(docs: DataFrame, ranges: int) -> Column:
+    """The number of a row's range of ids, in order; ``ranges`` of about equal size. Only ids are
+    read for it, in one pass that sends a summary from each task."""
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    points = docs.select(F.percentile_approx(id_order(), shares, 10_000)).collect()[0][0]
+    points = sorted(set(points or []))
+    bounds = F.lit(points).cast("array<long>") if points else F.array().cast("array<long>")
+    return F.size(F.filter(bounds, lambda b: b <= id_order()))
+
+
 def grouped_batches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows with equal keys from sorted batches; a group may go over batch ends.
 

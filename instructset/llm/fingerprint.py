@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from instructset.llm.common import id_order, id_range
 
 CELLS, THIRD = 15, 5
 RETRIES = 4
@@ -129,11 +130,8 @@ def with_likeness(df: DataFrame, name: str, a: str, b: str, a_cells: str, b_cell
 
 def next_document(docs: DataFrame, ranges: int, columns: list[str]) -> DataFrame:
     """``docs`` with ``_next``, a struct of the columns of the document with the next id; the last one's is the first."""
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    points = docs.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).collect()[0][0]
-    points = sorted(set(points or []))
-    bounds = F.lit(points).cast("array<long>") if points else F.array().cast("array<long>")
-    own = docs.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= key)))
+    key = id_order()
+    own = docs.withColumn("_range", id_range(docs, ranges))
     firsts = own.groupBy("_range").agg(F.min(key).alias("first")).orderBy("_range").collect()
     before = {r._range: (r.first, firsts[i - 1]._range, i == 0) for i, r in enumerate(firsts)}
     if not before:

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from instructset.llm.bpe import encoded_passes, read_spec, vocabulary_size
-from instructset.llm.common import prepare, sliced, texts
+from instructset.llm.common import id_range, prepare, sliced, texts
 from instructset.session import shared_dir
 
 # Ids per word and bits per id of Simple-8b's selectors, widest count first.
@@ -230,7 +230,9 @@ def write_ids(
         if docs:
             yield made()
 
-    ordered = _encoded(docs, spec, end_id, kind).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # Ranges come from the ids alone; a range partitioning of encoded rows would encode them twice.
+    coded = _encoded(docs, spec, end_id, kind).withColumn("range", id_range(texts(docs), n))
+    ordered = coded.repartitionById(n, "range").drop("range").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(folder)
     return folder
 
