@@ -298,7 +298,8 @@ def dedup(docs: DataFrame, window: int = 35, anchor: int | None = None, most_bit
     anchor = anchor or max(1, window * 2 // 5)
     found = spans(docs, window, anchor, most_bits).groupBy("doc_id", "salt")
     found = found.agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
+    rest = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), "doc_id", "text")
     own = own.withColumn("salt", _salt())
     on = own.doc_id.eqNullSafe(found.doc_id) & (own.salt == found.salt)
     rows = own.join(found, on, "left").select("_row", own.text, "spans")
