@@ -60,7 +60,7 @@ def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = lmscore.with_trust(texts(table(spark, folder, "documents")), table(spark, folder, "labels"))
-    return lmscore.score(docs, lmscore.fit(docs))
+    return lmscore.scored(docs)
 
 
 @query

@@ -223,6 +223,41 @@ def test_lm_scores(spark, docs_of):
             assert got[i].score is None
 
 
+@pytest.mark.parametrize("trust", [True, False])
+def test_lm_scores_by_every_word_and_pair(spark, docs_of, folder_of, trust):
+    """More distinct words and pairs than any fixed bound of before, and repeated ids, against counts by hand."""
+    rng = random.Random(3)
+    word = lambda: f"w{int(rng.paretovariate(0.5)) % 1000 if rng.random() < 0.5 else rng.randrange(1_000_000)}"
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(1, 120)))) for i in range(4000)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (5, "a b a b a"), (None, "a b"), (9_000, None), (9_001, " ")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 4000, 7) if trust] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    got = queries.QUERIES["op6_lm_score"](spark, folder_of(documents=docs_of(rows), labels=labels)).collect()
+    seqs = [(i, WORD.findall(t or "")) for i, t in rows]
+    models = []
+    for ids in (set(range(0, 4000, 7)) if trust else None, None):
+        taught = [s for i, s in seqs if ids is None or i in ids]
+        one, two = Counter(w for s in taught for w in s), Counter(p for s in taught for p in zip(s, s[1:]))
+        after = Counter(p[0] for p in two)
+        left = Counter(p[0] for s in taught for p in zip(s, s[1:]))
+        models.append((one, two, after, left, sum(one.values())))
+    vocabulary = len(models[1][0]) + 1
+    assert len(models[1][1]) > 1 << 16 and len(models[1][0]) > 1 << 16
+
+    def mean_bits(model, s):
+        one, two, after, left, total = model
+        single = [(one[w] + 0.5) / (total + 0.5 * vocabulary) for w in s]
+        prob = single[:1]
+        for x, y, alone in zip(s, s[1:], single[1:]):
+            context = max(1, one[x])
+            prob.append(max(two[x, y] - 0.5, 0) / context + (1 - (left[x] - 0.5 * after[x]) / context) * alone)
+        return -sum(map(math.log2, prob)) / len(s)
+
+    want = [(i or -1, len(s), *((mean_bits(m, s) for m in models) if s else (0, 0))) for i, s in seqs]
+    have = [(r.doc_id or -1, r.n_tokens, r.target_bits or 0, r.background_bits or 0) for r in got]
+    assert np.allclose(sorted(have), sorted(want), atol=1e-6)
+    assert all((r.score is None) == (r.n_tokens == 0) for r in got)
+
+
 def test_lm_of_the_tables_and_of_none(spark, docs_of, folder_of):
     got = queries.QUERIES["op6_lm_score"](spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").collect()
     mean = {q: np.mean([r.score for r in got if r.quality == q]) for q in (0, 1)}
