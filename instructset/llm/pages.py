@@ -2,9 +2,9 @@
 
 A page is read as a row of tokens: words, each under the kind of place it stands in, and tags. Every kind
 has a weight, the log of how much more frequent it is inside the content than outside on labelled
-pages: those whose markup names one content element (article or main). Words of running text
-come out positive; a tag is never better than slightly negative, nor is a word in a menu, footer or
-advert. One linear scan finds the contiguous region with the highest sum, the first on ties.
+pages: those whose markup names one content element (article or main). A word is always
+positive, except in a menu, footer or advert, where it counts nothing; a tag is never better than slightly
+negative. One linear scan finds the contiguous region with the highest sum, the first on ties.
 What the region holds of menus, adverts, forms, comments and the like is left out; the rest is the
 text: character references decoded, white space in a block one space, blocks parted by two line ends.
 
@@ -137,7 +137,7 @@ def counted(html: str) -> Counter:
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """The weight of every kind; tags at most slightly negative."""
+    """The weight of every kind: words positive, unwanted ones 0, tags at most slightly negative and none against many words."""
     kinds = {k for k, _ in counts}
     kinds |= {"word:text", "word:none", "word:link", "word:unwanted", "other", "other:unwanted"}
     kinds |= {f"{s}{n}" for n in BLOCK | INLINE | VOID for s in ("", "/", "word:")} | {n + ":unwanted" for n in BLOCK}
@@ -156,15 +156,17 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     inside = {k: counts.get((k, True), 0) + prior[k][0] for k in kinds}
     outside = {k: counts.get((k, False), 0) + prior[k][1] for k in kinds}
     total_in, total_out = sum(inside.values()), sum(outside.values())
+    ratios = {k: math.log(inside[k] / total_in) - math.log(outside[k] / total_out) for k in kinds}
+    # A row of a table or an item of a list has up to four tags: two words outweigh them, however rare they are in labelled content.
+    plain = max(0.5, ratios["word:text"])
     out = {}
-    for k in kinds:
-        ratio = math.log(inside[k] / total_in) - math.log(outside[k] / total_out)
+    for k, ratio in ratios.items():
         if not k.startswith("word:"):
-            ratio = min(-0.05, ratio)
+            ratio = max(-plain / 4, min(-0.05, ratio))
         elif k == "word:unwanted":
-            ratio = min(-0.5, ratio)
-        elif k == "word:text":
-            ratio = max(0.5, ratio)
+            ratio = 0.0
+        else:
+            ratio = max(plain / 2, ratio)
         out[k] = round(ratio, 6)
     return out
 

@@ -178,6 +178,23 @@ def test_best_region_is_the_best_of_all():
         assert sum(s[a:b]) == pytest.approx(best)
 
 
+def test_no_kind_of_wanted_word_is_lost_after_training():
+    """Thousands of like pages without lists, tables or bare text in the article, but with such text around it."""
+    p = "<p>Some words of the article that go on for a while here.</p>"
+    page = f"<body><ul><li>out of it</li></ul><div>outside</div><table><tr><td>a cell</td></tr></table><nav>{'menu ' * 90}</nav><article>{p * 9}</article><aside>ad</aside></body>"
+    one = pages.counted(page)
+    weight = pages.weights({k: 5000 * n for k, n in one.items()})
+    assert all(w >= 0.5 if k != "word:unwanted" else w == 0 for k, w in weight.items() if k.startswith("word:"))
+    assert all(w < 0 for k, w in weight.items() if not k.startswith("word:"))
+    items, cells = [f"item {i} of the list with more words to it" for i in range(4)], [f"cell {i} with words in it" for i in range(4)]
+    few, advert = "<p>Only a few words stand here.</p>", f"<aside>{'buy this now ' * 10}</aside>"
+    rows = "".join(f"<tr><td>{c}</td></tr>" for c in cells)
+    text = pages.main_text(f"<body>{few}{advert}{p}<table>{rows}</table><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul></body>", weight)
+    assert text == "\n\n".join([few[3:-4], p[3:-4], *cells, *items])
+    bare = "Text that stands straight in a div. " * 3
+    assert pages.main_text(f"<body><nav>menu</nav><div>{bare}</div></body>", weight) == bare.strip()
+
+
 def test_pages_of_the_tables(spark):
     from html import unescape
 
