@@ -41,7 +41,7 @@ BLOCK = BOILERPLATE | CONTENT | TEXT | {
 }
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "small", "sub", "sup", "code", "mark", "q", "cite", "abbr", "time", "font"}
-#: Words in a class, id or role that mark an element as no part of the article.
+#: Last parts of a class, id or role that mark an element as no part of the article.
 MARKS = {
     "ad", "ads", "advert", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc",
@@ -57,37 +57,80 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _RAW_NAME = re.compile(r"<([a-zA-Z]+)")
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+#: Last parts of a name that only say what holds the thing, and first parts that say something of another element.
+HOLDERS = {
+    "area", "bar", "block", "box", "button", "buttons", "container", "content", "group", "inner", "item", "items", "link", "links", "list",
+    "outer", "panel", "post", "posts", "row", "section", "slot", "unit", "wrap", "wrapper", "left", "right", "top", "bottom",
+}
+STATES = {"has", "have", "no", "not", "with", "without", "hide", "show", "is"}
+#: Start tags that end open elements whose end tag may be left out.
+_ENDS = {"li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "tr", "td", "th"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}}
 #: Counts of kinds inside and outside before any page is seen.
 _PRIOR = 20.0
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
-    if not attributes:
-        return False
-    if name not in ("body", "html", "article", "main"):
-        for found in _NAMED.findall(attributes):
-            if not MARKS.isdisjoint(_PART.findall("".join(found).lower())):
-                return True
-    return bool(_HIDDEN.search(attributes))
+def _marked(name: str) -> bool:
+    """Whether a class, id or role names no part of the article, by its whole or by its last part."""
+    parts = _PART.findall(name.lower())
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    return bool(parts) and parts[-1] in MARKS and parts[0] not in STATES
+
+
+def _unwanted(name: str, attributes: str) -> str:
+    """Why an element is unwanted: "kind", "hidden", or "named" for what is so only if it isn't most of the page."""
+    if name in BOILERPLATE and name != "form":
+        return "kind"
+    why = "named" if name == "form" else ""
+    for found in _ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = found[0].lower(), "".join(found[1:])
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _NOT_SHOWN.search(value):
+            return "hidden"
+        if key in ("class", "id", "role") and name not in ("body", "html", "article", "main") and any(map(_marked, value.split())):
+            why = "named"
+    return why
 
 
 def tokens(html: str) -> Iterator[tuple[str, str | None, bool, bool]]:
-    """(kind, text or None for a tag, whether in the content element, whether in an unwanted one)."""
-    #: Open structural elements: name, whether it or one around it is unwanted, whether in content.
-    stack: list[tuple[str, bool, bool]] = []
+    """(kind, text or None for a tag, whether in the content element, whether in an unwanted one).
+
+    An element that is unwanted for its name only, and holds most of the page's words while no heading or content
+    element of the page stands elsewhere, is a wrapper and counts as any other."""
+    spared: set[int] = set()
+    while True:
+        row = list(_tokens(html, spared))
+        words: Counter = Counter()
+        if any(t[4] >= 0 for t in row):
+            for t in row:
+                if t[1] is not None:
+                    words[t[4]] += len(t[1].split())
+        most = max((c for c in words if c >= 0), key=words.__getitem__, default=-1)
+        if most < 0 or 2 * words[most] <= words.total() or _elsewhere(row, most):
+            return iter([t[:4] for t in row])
+        spared.add(most)
+
+
+def _elsewhere(row: list[tuple], most: int) -> bool:
+    around = next(t[2] for t in row if t[4] == most)
+    names = {"h1"} if around else {"h1", "article", "main"}
+    return any(t[1] is None and t[0] in names for t in row)
+
+
+def _tokens(html: str, spared: set[int]) -> Iterator[tuple[str, str | None, bool, bool, int]]:
+    """``tokens`` with the place of the outermost element around that is unwanted for its name only, else -1."""
+    #: Open structural elements: name, whether it or one around it is unwanted, whether in content, that place.
+    stack: list[tuple[str, bool, bool, int]] = []
     paragraph, at = "none", 0
     n = len(html)
     while at < n:
         found = _TOKEN.search(html, at)
         end = found.start() if found else n
-        unwanted, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        unwanted, inside, place = stack[-1][1:] if stack else (False, False, -1)
         if end > at:
-            yield ("word:unwanted" if unwanted else "word:" + paragraph), html[at:end], inside, unwanted
+            yield ("word:unwanted" if unwanted else "word:" + paragraph), html[at:end], inside, unwanted, place
         if not found:
             return
         at = found.end()
@@ -105,24 +148,33 @@ def tokens(html: str) -> Iterator[tuple[str, str | None, bool, bool]]:
         if name in INLINE or name == "br" or name not in BLOCK:
             if name == "a":
                 paragraph = "link" if not closing else "text"
-            yield kind + ":unwanted" * unwanted, None, inside, unwanted
+            yield kind + ":unwanted" * unwanted, None, inside, unwanted, place
             continue
         if not closing:
-            own = unwanted or _unwanted(name, found[3])
+            while stack and stack[-1][0] in _ENDS.get(name, {"p"}):
+                stack.pop()
+            unwanted, inside, place = stack[-1][1:] if stack else (False, False, -1)
+            why = "" if unwanted else _unwanted(name, found[3])
+            if why == "named":
+                if found.start() in spared:
+                    why = ""
+                else:
+                    place = found.start()
+            own = unwanted or bool(why)
             inner = inside or name in CONTENT
-            yield kind + ":unwanted" * own, None, inside, own
+            yield kind + ":unwanted" * own, None, inside, own, place
             if name not in VOID and name not in TEXT:
-                stack.append((name, own, inner))
+                stack.append((name, own, inner, place))
             elif own and not unwanted and name not in VOID:
                 # A text element that is unwanted lasts until it is closed.
-                stack.append((name, own, inner))
+                stack.append((name, own, inner, place))
             paragraph = "text" if name in TEXT else name
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-            yield kind + ":unwanted" * unwanted, None, inside, unwanted
+            yield kind + ":unwanted" * unwanted, None, inside, unwanted, place
             paragraph = stack[-1][0] if stack else "none"
 
 

@@ -195,6 +195,36 @@ def test_no_kind_of_wanted_word_is_lost_after_training():
     assert pages.main_text(f"<body><nav>menu</nav><div>{bare}</div></body>", weight) == bare.strip()
 
 
+ARTICLE = "<h1>The title</h1><p>Words of the article, enough of them to be most of the page.</p><p>And some more.</p>"
+ARTICLE_TEXT = "The title\n\nWords of the article, enough of them to be most of the page.\n\nAnd some more."
+
+
+@pytest.mark.parametrize("tag", [
+    'body style="overflow-x:hidden"', 'div style="overflow:hidden"', 'div class="overflow-hidden"', 'div title="The hidden city"', 'article data-hidden="no"',
+    'div class="content has-sidebar"', 'div class="no-comments"', 'div class="search-results"', 'form action="/"', 'div class="page-sidebar"',
+])
+def test_names_that_do_not_make_an_article_unwanted(tag):
+    html = f"<nav>a menu</nav><{tag}>{ARTICLE}</{tag.split()[0]}><footer>the end</footer>"
+    assert pages.main_text(html, pages.weights({})) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("tag", [
+    "div hidden", 'div hidden=""', 'div aria-hidden="true"', 'div style="color:red; display: none"', 'div class="a-b sidebar"', 'div id="site-footer"',
+    'div class="ad-box"', 'div class="related-posts"', 'div class="share-buttons"', 'form action="/search"', 'p class="notice"', 'div role="complementary"',
+])
+def test_names_that_make_a_part_unwanted(tag):
+    html = f"<body>{ARTICLE.replace('<p>And', f'<{tag}>Not this.</{tag.split()[0]}><p>And')}</body>"
+    assert pages.main_text(html, pages.weights({})) == ARTICLE_TEXT
+
+
+def test_long_comments_and_left_out_end_tags():
+    comments = f"<section class='comments'>{'<p>A reader writes much more than the page has.</p>' * 20}</section>"
+    assert pages.main_text(f"<body>{ARTICLE}{comments}</body>", pages.weights({})) == ARTICLE_TEXT
+    assert pages.main_text(f"<body><p class=notice>A notice.{ARTICLE}</body>", pages.weights({})) == ARTICLE_TEXT
+    items = "<ul><li class=ad>Buy<li>one item<li>another item</ul>"
+    assert pages.main_text(f"<body>{ARTICLE}{items}</body>", pages.weights({})) == ARTICLE_TEXT + "\n\none item\n\nanother item"
+
+
 def test_pages_of_the_tables(spark):
     from html import unescape
 
