@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from instructset.llm import bpe, fingerprint, langid, lmscore, neardup, oracles, packing, pages, quality, simple8b, substring
+from instructset.llm import (
+    bpe,
+    fingerprint,
+    langid,
+    lmscore,
+    neardup,
+    oracles,
+    packing,
+    pages,
+    quality,
+    simple8b,
+    substring,
+    tokencounts,
+)
 from instructset.llm.common import prepare, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +105,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     files = simple8b.write_ids(table(spark, folder, "documents"), path)
     return simple8b.read_documents(spark, files, digests=True)
+
+
+@query
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = texts(table(spark, folder, "documents"))
+    counted = tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
