@@ -18,6 +18,7 @@ from instructset.llm import (
     packing,
     pages,
     quality,
+    repair,
     simple8b,
     substring,
     tokencounts,
@@ -112,3 +113,9 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = texts(table(spark, folder, "documents"))
     counted = tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.pieces_of(repair.damaged(given), given))
