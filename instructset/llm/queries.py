@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from instructset.llm import (
     bpe,
+    clustering,
     fingerprint,
     langid,
     lmscore,
@@ -115,6 +116,11 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.clusters(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 @query
 def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
