@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from instructset.operators.positions import file_chunks, with_row_index
 from instructset.session import materialize
 
 # Hexadecimal digits of a key that make its bucket. A task adds at most 4,096 rows per salt
@@ -318,5 +319,53 @@ def early_stop(df: DataFrame, order_col: str, keep: Column, limit: int, enough:
     return df.filter(stop.isNull() | (F.col(order_col) <= stop)).filter(keep)
 
 
+def first_file_rows(
+    df: DataFrame, n: int | None, index_col: str = "pos", must_exist: bool = False
+) -> DataFrame:
+    """The first ``n`` rows of a table as it was read, with their places; ``None`` or -1 keeps all.
+
+    Files are counted in their order until they hold ``n`` rows; later ones are never opened. With
+    ``must_exist`` fewer rows are an error."""
+    if n is None or n == -1:
+        return with_row_index(df, index_col)
+    chunks, rows = [], 0
+    for chunk, rows in file_chunks(df, index_col):
+        chunks.append(chunk)
+        if rows >= n:
+            break
+    if must_exist and rows < n:
+        raise ValueError(f"fewer than {n} rows")
+    if not chunks:
+        return with_row_index(df, index_col)
+    return reduce(DataFrame.unionByName, chunks).filter(F.col(index_col) < n)
+
+
+def early_stop_files(
+    df: DataFrame, keep: Column, limit: int, enough: int, index_col: str = "pos"
+) -> DataFrame:
+    """``early_stop`` over the files of a table as it was read, with the rows' places: files are read in
+    their order, twice as many each time, until the row that stops the scan is among them.
+
+    Places of kept rows are written for each step, so that the last pass evaluates ``keep`` once more for
+    the files read, and no later file is opened."""
+    chunks, kept, total = [], [], 0
+    for chunk, _ in file_chunks(df, index_col):
+        chunks.append(chunk)
+        places = chunk.filter(keep).select(F.col(index_col).cast("bigint").alias("v"))
+        kept.append(materialize(places, "kept"))
+        total += kept[-1].count()
+        if total < enough:
+            continue
+        known = reduce(DataFrame.unionByName, kept)
+        full = nth_smallest(known, "v", enough).head()[0]
+        stop = known.filter((F.col("v") > limit) & (F.col("v") >= full)).agg(F.min("v")).head()[0]
+        if stop is not None:
+            read = reduce(DataFrame.unionByName, chunks)
+            return read.filter(F.col(index_col) <= stop).filter(keep)
+    if not chunks:
+        return with_row_index(df, index_col).filter(keep)
+    return reduce(DataFrame.unionByName, chunks).filter(keep)
+
+
 def preview(df: DataFrame, id_col: str, n: int = 2, seed: int = SEED) -> DataFrame:
     return exact_sample(df, id_col, n, "preview", seed)

@@ -27,6 +27,7 @@ from instructset.operators.filters import (
     product_quality,
 )
 from instructset.operators.reviews import VERDICT, summary_text, top_review_text
+from instructset.operators.positions import with_row_index
 from instructset.operators.selection import (
     HELD_OUT,
     LADDER,
@@ -34,6 +35,7 @@ from instructset.operators.selection import (
     SEED,
     SUMMARY_LADDER,
     early_stop,
+    early_stop_files,
     exact_sample,
     sample_ladder,
     shuffled_split,
@@ -52,12 +54,14 @@ def description_pairs(
     """``pos, input, output``: titles and their cleaned descriptions.
 
     Length is judged on the raw text, so that the cheap test comes before the clean-up.
-    With ``limit`` the scan ends as ``early_stop`` says.
+    With ``limit`` the scan ends as ``early_stop`` says. A table without the column ``pos`` must be as it was
+    read: its rows are numbered in the order of its files, and with ``limit`` files after the end aren't opened.
     """
     keep = description_band(F.col(title), F.col(description))
-    kept = (
-        df.filter(keep) if limit is None else early_stop(df, pos, keep, limit, enough)
-    )
+    if pos not in df.columns:
+        kept = with_row_index(df, pos).filter(keep) if limit is None else early_stop_files(df, keep, limit, enough, pos)
+    else:
+        kept = df.filter(keep) if limit is None else early_stop(df, pos, keep, limit, enough)
     cleaned = F.array_join(F.transform(description, strip_html), " ")
     return kept.select(pos, F.col(title).alias("input"), cleaned.alias("output"))
 

@@ -135,7 +135,7 @@ def read_ranked_tsv(
     multi_line: bool = False,
 ) -> DataFrame:
     """``folder/<split>.csv``, tab-separated, with ``split``, ``source_rank`` (the place of
-    the split in ``splits``) and ``pos`` (the place of the row)."""
+    the split in ``splits``) and ``pos`` (the place of the row, files in the order of their paths)."""
     df = read_tsv(spark, [f"{folder}/{name}.csv" for name in splits], schema, multi_line)
     named = with_row_index(df.withColumn("split", split_of(df, splits)))
     rank = F.array_position(F.lit(list(splits)), F.col("split")) - 1
@@ -177,10 +177,51 @@ def pair_columns(
     return chosen[0], chosen[1]
 
 
-def json_columns(spark: SparkSession, path: str, records: int = 1000) -> list[str]:
-    """Keys of the first records of a JSON-lines file, in order of appearance."""
-    first = spark.read.text(path).limit(records).select(F.json_object_keys("value").alias("keys"))
-    return list(dict.fromkeys(k for row in first.collect() for k in row.keys or ()))
+def json_columns(spark: SparkSession, path: str) -> list[str]:
+    """Keys of all records of a JSON-lines file, in order of first appearance.
+
+    Each file block sends a row per key with the first place it has there."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"),
+        F.json_object_keys("value").alias("keys"),
+    )
+    keys = rows.select("file", "block", "row", F.posexplode("keys").alias("place", "key"))
+    # The row in its task and the key's place in its record as one number, which partial sums keep by hash.
+    at = F.shiftleft("row", 20) + F.least("place", F.lit((1 << 20) - 1))
+    first = keys.groupBy("file", "block", "key").agg(F.min(at).alias("at"))
+    found = sorted((r.file, r.block, r.at, r.key) for r in first.collect())
+    return list(dict.fromkeys(key for *_, key in found))
+
+
+def has_json_key(spark: SparkSession, path: str, key: str) -> bool:
+    """Whether any record of a JSON-lines file has the key; the search ends with the first that has."""
+    lines = spark.read.text(path)
+    return not lines.filter(F.array_contains(F.json_object_keys("value"), key)).isEmpty()
+
+
+def _json_pair(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None,
+    text_column: str | None,
+    summary_column: str | None,
+    dataset: str | None,
+) -> tuple[str, str]:
+    """``pair_columns`` for a file that names its columns record by record."""
+    if schema is not None:
+        return pair_columns(schema.names, text_column, summary_column, dataset)
+    known = KNOWN_PAIR_COLUMNS.get(dataset or "", (None, None))
+    wanted = [asked or name for asked, name in zip((text_column, summary_column), known, strict=True)]
+    if all(wanted) and all(has_json_key(spark, path, name) for name in wanted):
+        return wanted[0], wanted[1]
+    columns = json_columns(spark, path)
+    source, target = pair_columns(columns, text_column, summary_column, dataset)
+    lacking = [c for c in (source, target) if c not in columns]
+    if lacking:
+        raise ValueError(f"{path!r} has no {', '.join(lacking)}, only {', '.join(columns)}")
+    return source, target
 
 
 def load_pairs(
@@ -206,11 +247,7 @@ def load_pairs(
             df = read_csv(spark, path, schema)
             source, target = pair_columns(df.columns, text_column, summary_column, dataset)
         else:
-            columns = schema.names if schema is not None else json_columns(spark, path)
-            source, target = pair_columns(columns, text_column, summary_column, dataset)
-            lacking = [c for c in (source, target) if c not in columns]
-            if lacking:
-                raise ValueError(f"{path!r} has no {', '.join(lacking)}, only {', '.join(columns)}")
+            source, target = _json_pair(spark, path, schema, text_column, summary_column, dataset)
             own = T.StructType([T.StructField(c, T.StringType()) for c in (source, target)])
             df = read_jsonl(spark, path, schema or own)
         tables.append(

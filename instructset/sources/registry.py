@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from instructset import schemas
 from instructset.operators.positions import with_row_index
-from instructset.operators.selection import first_rows
+from instructset.operators.selection import first_file_rows
 from instructset.sources.readers import read_jsonl, read_parquet
 
 Loader = Callable[[SparkSession, str, Mapping[str, str]], DataFrame]
@@ -23,9 +23,9 @@ TASK_NAME = "esci_task2"
 def load_instructions(
     spark: SparkSession, name: str, paths: Mapping[str, str], rows: int | None = INSTRUCTION_ROWS
 ) -> DataFrame:
-    """The first ``rows`` rows of a Parquet file of questions and responses; ``None`` takes all."""
-    table = with_row_index(read_parquet(spark, paths[name], schemas.INSTRUCTION.names))
-    first = first_rows(table, "pos", rows, must_exist=True)
+    """The first ``rows`` rows of the Parquet files of questions and responses; ``None`` takes all."""
+    table = read_parquet(spark, paths[name], schemas.INSTRUCTION.names)
+    first = first_file_rows(table, rows, must_exist=True)
     return first.select("pos", F.col("question").alias("prompt"), "response")
 
 

@@ -20,8 +20,9 @@ from instructset.functions.text import (
     word_count,
 )
 from instructset.operators import filters as flt
+from instructset.operators.positions import with_row_index
 from instructset.operators.selection import first_rows
-from instructset.plans import evaluation
+from instructset.plans import building, evaluation
 from instructset.plans.building import tagged_sentences
 from instructset.sources import readers, registry, writers
 from instructset.session import shared_dir
@@ -402,6 +403,11 @@ def _copy(t, fmt: str) -> str:
     return f"{shared_dir(t.spark)}/{fmt}-{uuid.uuid4().hex}"
 
 
+def _in_order(df, key: str):
+    """Rows in order over as many files as there are ranges: file names begin with the range's number."""
+    return df.repartitionByRange(key).sortWithinPartitions(key)
+
+
 DOCUMENT = "doc_id bigint, text string, lang string, source string"
 
 
@@ -459,18 +465,61 @@ def _(t):
 
 @query(
     "tsv_ranked_scan",
-    """SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'train' END AS split,
-        (1 - doc_id % 2)::BIGINT AS source_rank, doc_id, source, lang FROM documents""",
+    """SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'train' END AS split, (1 - doc_id % 2)::BIGINT AS source_rank,
+        (row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1)::BIGINT AS pos, doc_id, source, lang FROM documents""",
 )
 def _(t):
-    """Ranked tab-separated files; their columns stand in another order than in the schema."""
+    """Ranked tab-separated files in the order of their rows; the columns stand in another order than in the schema."""
     path = _copy(t, "tsv")
     for name, rest in (("dev", 0), ("train", 1)):
         rows = t.documents.filter(F.col("doc_id") % 2 == rest).select("lang", "doc_id", "source")
-        rows.write.option("header", True).option("sep", "\t").csv(f"{path}/{name}.csv")
+        _in_order(rows, "doc_id").write.option("header", True).option("sep", "\t").csv(f"{path}/{name}.csv")
     schema = T.StructType.fromDDL("doc_id bigint, source string, lang string")
     read = readers.read_ranked_tsv(t.spark, path, schema, ("train", "dev"))
-    return read.select("split", F.col("source_rank").cast("bigint").alias("source_rank"), "doc_id", "source", "lang")
+    rank = F.col("source_rank").cast("bigint").alias("source_rank")
+    return read.select("split", rank, "pos", "doc_id", "source", "lang")
+
+
+@query("file_positions", "SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS pos, doc_id, text FROM documents")
+def _(t):
+    """Places of all rows of a Parquet table of several files."""
+    path = _copy(t, "numbered")
+    _in_order(t.documents.select("doc_id", "text"), "doc_id").write.parquet(path)
+    return with_row_index(readers.read_parquet(t.spark, path)).select("pos", "doc_id", "text")
+
+
+@query(
+    "task_rows",
+    """SELECT task, (row_number() OVER (PARTITION BY task ORDER BY doc_id) - 1)::BIGINT AS pos, source AS prompt, text AS response
+        FROM (SELECT *, CASE WHEN lang = 'en' THEN 'esci_task2_english' ELSE 'esci_task2_other' END AS task FROM documents)""",
+)
+def _(t):
+    """JSON pairs of two tasks, found by their full names."""
+    path, names = _copy(t, "tasks"), ("esci_task2_english", "esci_task2_other")
+    task = F.when(F.col("lang") == "en", names[0]).otherwise(names[1])
+    rows = t.documents.select("doc_id", F.col("source").alias("input"), F.col("text").alias("output"), task.alias("task"))
+    for name in names:
+        own = _in_order(rows.filter(F.col("task") == name), "doc_id")
+        writers.write_jsonl(own.select("input", "output"), f"{path}/{name}")
+    loaded = registry.load_datasets(t.spark, "#".join(names), {name: f"{path}/{name}" for name in names})
+    named = [df.select(F.lit(name).alias("task"), "pos", "prompt", "response") for name, df in loaded.items()]
+    return named[0].unionByName(named[1])
+
+
+@query(
+    "early_stop_files",
+    f"""WITH {TITLED}, kept AS (SELECT pos, title, description, row_number() OVER (ORDER BY pos) AS kept_no FROM
+            (SELECT (row_number() OVER (ORDER BY pos) - 1)::BIGINT AS pos, title, description FROM titled) WHERE {BAND}),
+        stop AS (SELECT min(pos) AS last FROM kept WHERE pos > 60 AND kept_no >= 20)
+        SELECT pos, title AS input, {sql_html("description")} AS output FROM kept, stop WHERE last IS NULL OR pos <= last""",
+)
+def _(t):
+    """Descriptions of a scan that ends; files after its end are not opened."""
+    path = _copy(t, "products")
+    rows = titled(t).select("pos", "title", F.array("description").alias("description"))
+    writers.write_jsonl(_in_order(rows, "pos").drop("pos"), path)
+    read = readers.read_jsonl(t.spark, path, T.StructType.fromDDL("title string, description array<string>"))
+    return building.description_pairs(read, limit=60, enough=20)
 
 
 @query("gzip_scan", "SELECT doc_id, text FROM documents")
@@ -509,8 +558,8 @@ def _(t):
         FROM chat QUALIFY pos < 20""",
 )
 def _(t):
-    """The first twenty rows of a Parquet table of questions, in the order of its file."""
+    """The first twenty rows of a Parquet table of questions, in the order of its files."""
     path = _copy(t, "orca")
     rows = chat(t).select("id", F.col("prompt").alias("question"), "response")
-    rows.repartition(1).sortWithinPartitions("id").drop("id").write.parquet(path)
+    _in_order(rows, "id").drop("id").write.parquet(path)
     return registry.load_instructions(t.spark, "orca", {"orca": path}, rows=20)
