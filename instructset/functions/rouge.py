@@ -1,27 +1,28 @@
-"""ROUGE for one pair of texts.
+"""ROUGE for pairs of texts.
 
-``rouge_n`` is a JVM expression. The longest common subsequence has none that is not
-quadratic; it runs in Arrow batches, on bit vectors that hold many table cells in a
-machine word.
+``rouge_n`` is a JVM expression over token arrays. Scores of whole tables come from the kernel that works on all
+pairs of an Arrow batch together.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
-from math import isqrt
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from instructset.functions.stem import stem
+from instructset.functions import rouge_kernel
+from instructset.functions.stem import stem_table, token_stem
+from instructset.session import materialize
 
-# What a token is, and the length up to which it is not stemmed.
+#: Stems up to which they are sent to the tasks.
+MOST_STEMS = 1_000_000
+# What a token is, and the metrics.
 TOKEN = "[a-z0-9]+"
-UNSTEMMED_LENGTH = 3
 METRICS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 
 
@@ -29,10 +30,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _stemmed(token: str) -> str:
-    return stem(token) if len(token) > UNSTEMMED_LENGTH else token
-
-
 def ngrams(words: Column, n: int) -> Column:
     grams = words
     for k in range(1, n):
@@ -85,139 +82,62 @@ def rouge_n(reference: Column, prediction: Column, n: int) -> Column:
     return f_measure(overlap(ref, pred), F.size(pred), F.size(ref))
 
 
-def _masks(words: list[str]) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, word in enumerate(words):
-        masks[word] = masks.get(word, 0) | 1 << i
-    return masks
+def lowered(text: Column) -> Column:
+    return F.coalesce(F.lower(text), F.lit(""))
 
 
-def _advance(row: int, mask: int, full: int) -> int:
-    """One table row further: bit j is 0 where the common length grows at column j
-    (Hyyro, 2004)."""
-    common = row & mask
-    return ((row + common) | (row - common)) & full
+def stemmed_text(text: Column) -> Column:
+    """Lower-case text with every token stemmed where it stands; line ends stay."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.array_join(F.transform(tokens(line), token_stem), " "))
+    return F.array_join(lines, "\n")
 
 
-def lcs_length(left: list[str], right: list[str]) -> int:
-    full = (1 << len(right)) - 1
-    masks, row = _masks(right), full
-    for word in left:
-        row = _advance(row, masks.get(word, 0), full)
-    return len(right) - row.bit_count()
+def _known_stems(df: DataFrame, texts: Sequence[str]) -> pa.Table | None:
+    """The stems of all tokens of the texts that have another stem, if they are few enough to send."""
+    distinct = [df.select(F.explode(F.array_distinct(tokens(F.col(c)))).alias("token")) for c in texts]
+    table = stem_table(distinct[0].union(distinct[1]))
+    return table.toArrow() if table.limit(MOST_STEMS + 1).count() <= MOST_STEMS else None
 
 
-def lcs_positions(left: list[str], right: list[str], masks: dict[str, int]) -> list[int]:
-    """Positions in ``left`` of one longest common subsequence.
+def _hits(metrics: Sequence[str], known: Broadcast | None):
+    fields = [T.StructField(f"{m}{part}", T.LongType()) for m in metrics for part in ("", "_left", "_right")]
 
-    The path goes back from the ends and, between two equally good steps, drops the last
-    word of ``left``; words that ``right`` lacks are never on it. Only every ``block``-th
-    row is kept; the rows between are computed again when the path comes to them.
-    """
-    common = [at for at, word in enumerate(left) if word in masks]
-    steps = [masks[left[at]] for at in common]
-    full = (1 << len(right)) - 1
-    block = isqrt(len(steps)) + 1
-    kept, row = [full], full
-    for i, mask in enumerate(steps, 1):
-        row = _advance(row, mask, full)
-        if i % block == 0:
-            kept.append(row)
-    i, j, length = len(steps), len(right), len(right) - row.bit_count()
-    found: list[int] = []
-    base, rows = len(steps) + 1, []
-    while length:
-        if steps[i - 1] >> (j - 1) & 1:
-            found.append(common[i - 1])
-            i, j, length = i - 1, j - 1, length - 1
-            continue
-        if i - 1 < base:
-            base = (i - 1) // block * block
-            rows = [kept[base // block]]
-            for mask in steps[base : i - 1]:
-                rows.append(_advance(rows[-1], mask, full))
-        above = j - (rows[i - 1 - base] & ((1 << j) - 1)).bit_count()
-        if length > above:
-            j -= 1
-        else:
-            i -= 1
-    return found[::-1]
+    def stems(distinct: pa.Array) -> pa.Array:
+        table = known.value
+        place = pc.index_in(distinct, value_set=table.column("token").combine_chunks().cast(distinct.type))
+        return pc.coalesce(table.column("stem").combine_chunks().cast(distinct.type).take(place), distinct)
 
+    @F.arrow_udf(T.StructType(fields))
+    def hits(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = rouge_kernel.hits(left, right, metrics, None if known is None else stems)
+        return pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in found.values()], names=list(found))
 
-def summary_hits(reference: list[list[str]], prediction: list[list[str]]) -> int:
-    """Per reference line the union of its common subsequences with all predicted lines;
-    a token counts no more often than it occurs on either side."""
-    if len(reference) == len(prediction) == 1:
-        return lcs_length(reference[0], prediction[0])
-    spare = Counter(t for line in reference for t in line) & Counter(
-        t for line in prediction for t in line
-    )
-    lines = [(line, _masks(line)) for line in prediction if line]
-    hits = 0
-    for line in reference:
-        words = set(line)
-        union: set[int] = set()
-        for other, masks in lines:
-            if not words.isdisjoint(masks):
-                union.update(lcs_positions(line, other, masks))
-        for i in union:
-            if spare[line[i]] > 0:
-                spare[line[i]] -= 1
-                hits += 1
     return hits
 
 
-def line_tokens(text: Column, stemming: bool = False) -> Column:
-    """Tokens of each line; a missing text has one empty line."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), tokens)
-    return stemmed(lines) if stemming else lines
-
-
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def stemmed(lines: pa.Array) -> pa.Array:
-    """Lines with their tokens stemmed, each distinct token of a batch once."""
-    rows = pc.list_flatten(lines)
-    coded = pc.list_flatten(rows).dictionary_encode()
-    stems = pa.array([_stemmed(t) for t in coded.dictionary.to_pylist()], pa.string())
-    flat = stems.take(coded.indices)
-
-    def edges(lists: pa.Array) -> pa.Array:
-        return pa.array([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False).cumsum()], pa.int32())
-
-    return pa.ListArray.from_arrays(edges(lines), pa.ListArray.from_arrays(edges(rows), flat))
-
-
-@F.arrow_udf(T.IntegerType())
-def longest_common(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Length of the longest common subsequence of two token arrays."""
-    return pa.array([lcs_length(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int32())
-
-
-@F.arrow_udf(T.IntegerType())
-def summary_common(left: pa.Array, right: pa.Array) -> pa.Array:
-    """``summary_hits`` of two arrays of lines."""
-    return pa.array([summary_hits(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int32())
-
-
 def with_scores(
     df: DataFrame, reference: str, prediction: str, stemming: bool = False, metrics: Sequence[str] = METRICS
 ) -> DataFrame:
-    """Adds the F-measures named in ``metrics``. N-grams are JVM expressions; subsequences run in
-    Arrow batches, and only those that are asked for."""
+    """Adds the F-measures named in ``metrics``; a missing text counts as empty. All of them come from one
+    pass over Arrow batches.
+
+    With ``stemming`` the distinct tokens of both columns are stemmed first, once for the whole table. Those with another stem go to the
+    tasks if they are at most ``MOST_STEMS`` (some 20 bytes each); with more of them tokens are stemmed where they stand."""
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"{', '.join(sorted(unknown))} is not one of: {', '.join(METRICS)}")
-    df = df.withColumns(
-        {f"_{side}": line_tokens(F.col(name), stemming) for side, name in (("ref", reference), ("pred", prediction))}
-    )
-    df = df.withColumns({"_left": F.flatten("_ref"), "_right": F.flatten("_pred")})
-    sizes = F.size("_right"), F.size("_left")
-    for metric in metrics:
-        if metric == "rougeL":
-            score = f_measure(longest_common("_left", "_right"), *sizes)
-        elif metric == "rougeLsum":
-            score = f_measure(summary_common("_ref", "_pred"), *sizes)
+    if not metrics:
+        return df
+    sides = ["_reference", "_prediction"]
+    texts = [lowered(F.col(c)) for c in (reference, prediction)]
+    own, known = df.withColumns(dict(zip(sides, texts, strict=True))), None
+    if stemming:
+        table = _known_stems(own, sides)
+        if table is None:
+            # Spark can't hand so nested an expression to a Python function, so it goes by way of a table.
+            own = materialize(own.withColumns({side: stemmed_text(F.col(side)) for side in sides}), "stemmed")
         else:
-            score = rouge_n(F.col("_left"), F.col("_right"), int(metric[-1]))
-        df = df.withColumn(metric, score)
-    return df.drop("_ref", "_pred", "_left", "_right")
+            known = df.sparkSession.sparkContext.broadcast(table)
+    counted = own.withColumn("_hits", _hits(metrics, known)(*sides)).drop(*sides)
+    scores = {m: f_measure(*[F.col(f"_hits.{m}{part}") for part in ("", "_right", "_left")]) for m in metrics}
+    return counted.withColumns(scores).drop("_hits")

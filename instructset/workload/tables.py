@@ -8,6 +8,7 @@ from instructset.functions import arrays
 from instructset.functions import prompts as P
 from instructset.functions import rouge
 from instructset.functions.labels import entity_spans
+from instructset.functions.stem import stem_table
 from instructset.functions.text import TOKEN, WORD, tokens, word_count
 from instructset.operators import batching, dedup, evidence as ev, filters as flt, scoring, selection as sel
 from instructset.operators.reviews import joined_reviews, top_reviews
@@ -15,6 +16,7 @@ from instructset.operators.vocabulary import build_vocabulary, decode, encode
 from instructset.plans import assembly, building
 from instructset.session import materialize
 from instructset.sources.readers import spread
+from instructset.workload import rouge_sql
 from instructset.workload.inputs import (
     ID,
     BAND,
@@ -691,7 +693,12 @@ def _(t):
     return scored.select("id", F.round("rougeL", 6).alias("rougeL"))
 
 
-@query("rouge_lsum")
+CHAT_TEXTS = f"{CHAT}, texts AS (SELECT id, prompt AS a, response AS b FROM chat)"
+CHAT_SENTENCES = f"""{CHAT}, texts AS (SELECT id, {rouge_sql.sentence_lines("prompt", sql_strip)} AS a,
+    {rouge_sql.sentence_lines("response", sql_strip)} AS b FROM chat)"""
+
+
+@query("rouge_lsum", f"""{rouge_sql.scores(CHAT_TEXTS, False)} SELECT id, round("rougeLsum", 6) AS "rougeLsum" FROM scores""")
 def _(t):
     scored = scoring.rouge_scores(spread(chat(t), "id"), "prompt", "response", metrics=["rougeLsum"])
     return scored.select("id", F.round("rougeLsum", 6).alias("rougeLsum"))
@@ -712,12 +719,24 @@ def _(t):
     return report.select("metric", F.round("value", 6).alias("value"))
 
 
-@query("rouge_all")
+@query("rouge_all", rouge_sql.report(CHAT_TEXTS, False, False, 6))
 def _(t):
-    return scoring.rouge_report(spread(chat(t), "id"), "prompt", "response")
+    report = scoring.rouge_report(spread(chat(t), "id"), "prompt", "response")
+    return report.select("metric", F.round("value", 6).alias("value"))
 
 
-@query("rouge_stemmed")
+@query(
+    "token_stems",
+    f"""WITH raw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
+        {rouge_sql.stems("raw")} SELECT token, stem FROM stems WHERE stem <> token""",
+)
+def _(t):
+    """The stem table of all documents."""
+    found = _documents(t).select(F.explode(rouge.tokens(F.col("text"))).alias("token"))
+    return stem_table(found)
+
+
+@query("rouge_stemmed", rouge_sql.report(CHAT_SENTENCES, True, True, 4))
 def _(t):
     return scoring.rouge_report(spread(chat(t), "id"), "prompt", "response", True, True, True)
 
@@ -846,7 +865,15 @@ def _(t):
     )
 
 
-@query("generation_report")
+DECODED = f"""{CHAT}, decoded AS (SELECT id, prompt, regexp_extract_all(response, '{TOKEN}') AS ids FROM chat),
+    texts AS (SELECT id, {rouge_sql.sentence_lines("prompt", sql_strip)} AS a,
+        {rouge_sql.sentence_lines("array_to_string(ids, ' ')", sql_strip)} AS b FROM decoded)"""
+
+
+@query(
+    "generation_report",
+    f"{rouge_sql.report(DECODED, True, True, 4)} UNION ALL SELECT 'gen_len', round(avg(len(ids)), 6) FROM decoded",
+)
 def _(t):
     pairs = spread(chat(t), "id")
     vocabulary = build_vocabulary(pairs, "prompt", "response")
@@ -854,4 +881,5 @@ def _(t):
         pairs.withColumn("tokens", tokens(F.col("response"))), "id", "tokens", vocabulary, "ids"
     )
     decoded = decode(coded, "id", "ids", vocabulary, "generated")
-    return scoring.generation_report(decoded, "prompt", "generated", "ids", vocabulary.pad_id)
+    report = scoring.generation_report(decoded, "prompt", "generated", "ids", vocabulary.pad_id)
+    return report.select("metric", F.round("value", 6).alias("value"))

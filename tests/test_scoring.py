@@ -2,13 +2,16 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from instructset.functions import rouge
 from instructset.functions.labels import aligned_labels, entity_spans, tuple_labels, tuple_tokens
-from instructset.functions.stem import stem
+from instructset.functions import rouge_kernel
+from instructset.functions import stem as stems
 from instructset.operators import scoring
+from tests.plain_stem import stem as plain_stem
 
 
 def python_spans(labels, strict=False):
@@ -110,8 +113,8 @@ def test_common_subsequences():
     rng = random.Random(9)
     for _ in range(500):
         a, b = (rng.choices("abcdef", k=rng.randint(0, 25)) for _ in range(2))
-        assert rouge.lcs_length(a, b) == table(a, b)[-1][-1]
-        assert rouge.lcs_positions(a, b, rouge._masks(b)) == path(a, b)
+        assert rouge_kernel.lcs_length(a, b) == table(a, b)[-1][-1]
+        assert rouge_kernel.lcs_positions(a, b) == path(a, b)
 
 
 def brute_scores(ref, pred):
@@ -180,8 +183,59 @@ STEMS = {
 }
 
 
-def test_stems():
-    assert {w: stem(w) for w in STEMS} == STEMS
+def test_stems(spark):
+    """Published examples, and many made-up words against a plain version."""
+    assert {w: plain_stem(w) for w in STEMS} == STEMS
+    rng = random.Random(12)
+    ends = [*stems.PLURAL, *stems.DERIVED, *stems.ADJECTIVAL, *stems.RESIDUAL, "ed", "ing", "eed", "ied", "y", "ies",
+            "logi", "alli", "e", "ll", "at", "bl", "iz", "tt", "ss", ""]
+    words = {*STEMS, *stems.IRREGULAR, *(x + "y" * n + e for x in ("", "a", "b") for n in range(1, 8) for e in ("", "ing"))}
+    while len(words) < 6000:
+        root = "".join(rng.choices("aeiouybcdlnrstwxyz9", k=rng.randrange(6)))
+        words.add(root + "".join(rng.choices(ends, k=rng.randrange(3))) or "a")
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "token string")
+    assert {r.token: r.stem for r in df.select("token", stems.stem(F.col("token")).alias("stem")).collect()} == {
+        w: plain_stem(w) for w in words
+    }
+    table = {r.token: r.stem for r in stems.stem_table(df.union(df)).collect()}
+    assert table == {w: plain_stem(w) for w in words if len(w) > 3 and plain_stem(w) != w}
+
+
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_stemmed_scores_with_and_without_a_table(spark, monkeypatch, most):
+    monkeypatch.setattr(rouge, "MOST_STEMS", most)
+    rng = random.Random(13)
+    words = ["running", "runs", "Run", "happily", "happy", "cats", "cat", "\n", "generalizations", "ponies", "é"]
+    rows = [(i, *(" ".join(rng.choices(words, k=rng.randint(0, 15))) for _ in range(2))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, None, "cats")], "id int, output string, model_output string")
+    for r in scoring.rouge_scores(df, stemming=True).collect():
+        ref, pred = (re.sub("[a-z0-9]+", lambda m: plain_stem(m[0]) if len(m[0]) > 3 else m[0], (x or "").lower()) for x in (r.output, r.model_output))
+        assert [r.rouge1, r.rouge2, r.rougeL, r.rougeLsum] == pytest.approx(brute_scores(ref, pred))
+
+
+@pytest.mark.parametrize("few, bytes_, words", [(4, 4 << 20, 1 << 22), (1, 2000, 3000), (10**9, 500, 1 << 22)])
+def test_hits_of_a_batch_against_pairs(monkeypatch, few, bytes_, words):
+    """All ways through the kernel: stepped together, in small passes and tables, and one by one."""
+    monkeypatch.setattr(rouge_kernel, "_FEW", few)
+    monkeypatch.setattr(rouge_kernel, "PASS_BYTES", bytes_)
+    monkeypatch.setattr(rouge_kernel, "TABLE_WORDS", words)
+    rng = random.Random(14)
+    for sizes in ([0, 1, 3, 10, 30], [0, 2, 70, 150, 300]):
+        vocabulary = [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(8)]
+        texts = [["".join(rng.choice(vocabulary) + rng.choice(["  ", " ", "\n", ", ", "é"]) for _ in range(rng.choice(sizes)))
+                  for _ in range(25)] + extra for extra in ([None, "", "x"], ["a b", None, "x"])]
+        found = rouge_kernel.hits(*(pa.array(t, pa.string()).slice(1) for t in texts), rouge.METRICS)
+        for i, (ref, pred) in enumerate(zip(*(t[1:] for t in texts), strict=True)):
+            got = [2 * found[m][i] / (found[m + "_left"][i] + found[m + "_right"][i]) if found[m][i] else 0.0 for m in rouge.METRICS]
+            assert got == pytest.approx(brute_scores(ref or "", pred or ""))
+
+
+def test_no_pairs_and_long_texts():
+    empty = pa.array([], pa.string())
+    assert all(len(v) == 0 for v in rouge_kernel.hits(empty, empty, rouge.METRICS).values())
+    long = pa.array(["a b c d\n" * 4000])
+    found = rouge_kernel.hits(long, pa.array(["b d " * 3000]), rouge.METRICS)
+    assert int(found["rougeL"][0]) == 6000 and int(found["rouge1"][0]) == 2 * 4000 - 2000
 
 
 def test_prediction_hook(spark):
