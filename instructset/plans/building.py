@@ -259,6 +259,12 @@ def summary_table(pairs: DataFrame, prompt: str = SUMMARY_PROMPT, strict: bool =
     return pairs.select("split", text.alias("inputs"), F.col("output").alias("target"))
 
 
+def summary_rows(pairs: DataFrame, prompt: str = SUMMARY_PROMPT) -> tuple[DataFrame, DataFrame]:
+    """``summary_table`` of the pairs that have the prompt, and the pairs that lack it, as they are."""
+    kept, rejects = partition_rows(pairs, F.contains(F.coalesce("input", F.lit("")), F.lit(prompt)))
+    return summary_table(kept, prompt), rejects
+
+
 def tagged_sentences(
     df: DataFrame, text: str = "description", tags: str = "tag"
 ) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from instructset.functions.labels import conll_block
 from instructset.functions.prompts import TRAINING_SEPARATOR, training_line
 from instructset.functions.text import one_line, strip
+from instructset.session import ship_package
+from instructset.sources.named_files import FORMAT, NamedFiles
 
 
 def write_jsonl(df: DataFrame, path: str, by: str | None = None, mode: str = "error") -> None:
@@ -17,11 +19,29 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None, mode: str = "er
 
 
 def write_documents(df: DataFrame, path: str, name_col: str = "file_name") -> None:
-    """A folder for each input document. Only for a few documents: a large table belongs
-    in ``write_jsonl``, with the name as a column."""
+    """A folder for each input document, in any store that Spark writes to. Only for a few documents; for many see
+    ``write_named_files``, or ``write_jsonl`` with the name as a column."""
     df.repartition(name_col).write.partitionBy(name_col).json(path)
 
 
+def write_named_files(df: DataFrame, path: str, name_col: str = "file_name") -> None:
+    """One JSON file for each name in one folder, as many files as there are names; rows of one name are
+    lines of its file. A missing name, or one that isn't a plain visible file name, is an error.
+
+    Rows are dealt out by name and sorted, so a task writes one file after another. The target must be a folder
+    that executors share, or a store that Arrow reaches by its URI."""
+    spark = df.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(NamedFiles)
+    name = F.col(name_col).cast("string")
+    plain = F.coalesce(name.rlike(r"^[^/\x00._][^/\x00]*$"), F.lit(False))
+    bad = F.raise_error(F.concat(F.lit("not a file name: "), F.coalesce(name, F.lit("null"))))
+    fields = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name_col])
+    value = F.to_json(fields, {"ignoreNullFields": "false"})
+    rows = df.select(F.when(plain, name).otherwise(bad.cast("string")).alias("name"), value.alias("value"))
+    rows.repartition("name").sortWithinPartitions("name", "value").write.format(FORMAT).mode("append").save(path)
+
+
 def write_conll(df: DataFrame, path: str, tokens: str = "tokens", by: str | None = None) -> None:
     """``token label`` lines and an empty line after each sentence."""
     block = conll_block(F.col(tokens)).alias("value")

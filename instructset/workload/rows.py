@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from instructset import schemas
 from instructset.functions import prompts as P
 from instructset.functions.html import strip_html
 from instructset.functions.labels import aligned_labels, conll_block, tuple_labels, tuple_tokens
@@ -522,6 +525,96 @@ def _(t):
     return building.description_pairs(read, limit=60, enough=20)
 
 
+#: Rows of a block of events; a product's reviews are one document per block, so a document is bounded.
+REVIEW_BLOCK = 8192
+
+
+def _review_kind(kind: str, wanted: str, output: str) -> str:
+    top = f"""SELECT file_name, string_agg(text, chr(10) ORDER BY helpful_votes DESC NULLS LAST, pos) AS texts
+        FROM (SELECT * FROM blocks WHERE {wanted}
+            QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY helpful_votes DESC NULLS LAST, pos) <= 4) GROUP BY 1"""
+    return f"""SELECT '{kind}' AS kind, file_name, {sql_text(P.SUMMARY_PROMPT)} || coalesce(texts, '') AS input, {output} AS output
+        FROM summaries LEFT JOIN ({top}) USING (file_name)"""
+
+
+def _review_texts(wanted: str) -> str:
+    return f"coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE {wanted}), '')"
+
+
+@query(
+    "review_documents",
+    f"""WITH {REVIEWS}, blocks AS (SELECT *, product || '-' || (pos // {REVIEW_BLOCK}) || '.json' AS file_name FROM reviews),
+        whole AS (SELECT file_name, max(helpful_votes) AS most, {_review_texts("rating > 3")} AS pros, {_review_texts("rating < 3")} AS cons
+            FROM blocks GROUP BY 1),
+        summaries AS (SELECT * FROM whole WHERE most % 7 <> 0)
+    {_review_kind("verdict", "true", "'most votes ' || most")} UNION ALL {_review_kind("pros", "rating > 3", "pros")}
+    UNION ALL {_review_kind("cons", "rating < 3", "cons")}
+    UNION ALL SELECT 'reject', file_name, NULL, NULL FROM whole WHERE most % 7 = 0""",
+)
+def _(t):
+    """Products with reviews, one document per file, to files of the same names with their summaries, and back."""
+    given, built = _copy(t, "products"), _copy(t, "summaries")
+    name = F.concat_ws("-", "product", F.floor(F.col("pos") / REVIEW_BLOCK).cast("string"))
+    review = F.struct("pos", "text", "rating", "helpful_votes")
+    blocks = reviews(t).groupBy(F.concat(name, F.lit(".json")).alias("file_name")).agg(
+        F.sort_array(F.collect_list(review)).alias("all"), F.max("helpful_votes").alias("most")
+    )
+
+    def texts(test):
+        return F.transform(F.filter("all", lambda r: test(r["rating"])), lambda r: r["text"])
+
+    verdict = F.concat(F.lit("most votes "), F.col("most").cast("string"))
+    summary = F.struct(verdict.alias("verdict"), texts(lambda r: r > 3).alias("pros"), texts(lambda r: r < 3).alias("cons"))
+    products = blocks.select(
+        "file_name",
+        F.when(F.col("most") % 7 != 0, F.array(summary)).otherwise(F.array().cast(summary_type())).alias("website_summaries"),
+        F.transform("all", lambda r: F.struct(r["text"], r["rating"], r["helpful_votes"])).alias("customer_reviews"),
+    )
+    writers.write_named_files(products, given)
+    read = readers.read_documents(t.spark, given, schemas.REVIEWED_PRODUCT)
+    out = []
+    for kind in ("verdict", "pros", "cons"):
+        found, rejects = building.build_review_summaries(read, kind)
+        writers.write_named_files(found, f"{built}/{kind}")
+        again = readers.read_documents(t.spark, f"{built}/{kind}", T.StructType.fromDDL("input string, output string"))
+        out.append(again.select(F.lit(kind).alias("kind"), "file_name", "input", "output"))
+    none = F.lit(None).cast("string")
+    out.append(rejects.select(F.lit("reject").alias("kind"), "file_name", none.alias("input"), none.alias("output")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def summary_type() -> T.DataType:
+    return schemas.REVIEWED_PRODUCT["website_summaries"].dataType
+
+
+@query(
+    "summary_documents",
+    f"""WITH prompted AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split,
+            CASE WHEN lang = 'de' THEN text ELSE {sql_text(P.SUMMARY_PROMPT)} || text END AS input, source AS output FROM documents)
+        SELECT split, 'row' AS kind, split_part(input, {sql_text(P.SUMMARY_PROMPT)}, 2) AS inputs, output AS target FROM prompted
+        WHERE contains(input, {sql_text(P.SUMMARY_PROMPT)})
+        UNION ALL SELECT split, 'reject', input, output FROM prompted WHERE NOT contains(input, {sql_text(P.SUMMARY_PROMPT)})""",
+)
+def _(t):
+    """Summary pairs, one document per file in a folder per split, to CSV without the prompt; pairs without it beside."""
+    path, csv = _copy(t, "summary-pairs"), _copy(t, "summary-csv")
+    text = F.when(F.col("lang") == "de", F.col("text")).otherwise(F.concat(F.lit(P.SUMMARY_PROMPT), "text"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name")
+    splits = ("train", "valid", "test")
+    for i, split in enumerate(splits):
+        rows = t.documents.filter(F.col("doc_id") % 3 == i).select(name, text.alias("input"), F.col("source").alias("output"))
+        writers.write_named_files(rows, f"{path}/{split}")
+    pairs = readers.read_split_folders(t.spark, path, schemas.PAIR, splits, documents=True)
+    kept, rejects = building.summary_rows(pairs)
+    writers.write_csv(kept, csv, by="split")
+    table = readers.read_csv(t.spark, [f"{csv}/split={s}" for s in splits], schemas.CSV_PAIR, multi_line=True)
+    table = table.withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), "split=([a-z]+)/", 1))
+    rows = table.select("split", F.lit("row").alias("kind"), "inputs", "target")
+    return rows.unionByName(
+        rejects.select("split", F.lit("reject").alias("kind"), F.col("input").alias("inputs"), F.col("output").alias("target"))
+    )
+
+
 @query("gzip_scan", "SELECT doc_id, text FROM documents")
 def _(t):
     path = _copy(t, "gz")

@@ -214,3 +214,38 @@ def test_scored_files(spark, tmp_path):
     sweep = {(r.rung, r.metric): r.value for r in evaluation.sweep_report(df).collect()}
     assert sweep[("1k", "rougeL")] == 100.0 and sweep[("5k", "rougeL")] == 0.0 and len(sweep) == 8
     assert evaluation.samples(df, 1, "eval").first() == ("eval_samples", 1.0)
+
+
+def test_one_file_for_each_name(spark, tmp_path):
+    rows = [(f"d{i % 40}.json", i, None if i % 7 else "x\ny") for i in range(200)]
+    df = spark.createDataFrame(rows, "file_name string, n int, text string").repartition(7)
+    for _ in range(2):
+        # A second run leaves the same files.
+        writers.write_named_files(df, str(tmp_path / "out"))
+        names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc"))
+        assert names == sorted([*{r[0] for r in rows}, "_SUCCESS"])
+    for name in {r[0] for r in rows}:
+        found = [json.loads(line) for line in (tmp_path / "out" / name).read_text().splitlines()]
+        assert sorted((r["n"], r["text"]) for r in found) == sorted((n, t) for f, n, t in rows if f == name)
+    back = spark.read.schema("n int, text string").json(str(tmp_path / "out")).withColumn("file_name", F.col("_metadata.file_name"))
+    assert sorted(map(str, back.select("file_name", "n", "text").collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("name", [None, "", "a/b", ".hidden", "_part", "../up"])
+def test_names_that_are_no_file_names_fail(spark, tmp_path, name):
+    df = spark.createDataFrame([(name, 1)], "file_name string, n int")
+    with pytest.raises(Exception, match="not a file name"):
+        writers.write_named_files(df, str(tmp_path / "out"))
+
+
+def test_documents_without_rows(spark, tmp_path):
+    writers.write_named_files(spark.createDataFrame([], "file_name string, n int"), str(tmp_path / "none"))
+    assert [p.name for p in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+
+
+def test_summaries_without_the_prompt_are_kept_beside(spark):
+    prompt = building.SUMMARY_PROMPT
+    rows = [("train", prompt + "text", "s"), ("test", "no prompt", "r"), ("test", None, "n")]
+    kept, rejects = building.summary_rows(spark.createDataFrame(rows, "split string, input string, output string"))
+    assert kept.collect() == [("train", "text", "s")]
+    assert sorted(r.output for r in rejects.collect()) == ["n", "r"]
