@@ -24,7 +24,7 @@ from instructset.operators.filters import (
     within_length,
 )
 from instructset.operators.selection import SEED, exact_sample, first_rows, train_validation_split
-from instructset.operators.vocabulary import Vocabulary, build_vocabulary, encode
+from instructset.operators.vocabulary import KeyedVocabularies, Vocabulary, build_vocabulary, encode
 from instructset.session import materialize
 
 # Length limits in tokens.
@@ -150,7 +150,7 @@ def assemble_mixed(
 def assemble_seq2seq(
     df: DataFrame,
     id_col: str,
-    vocabulary: Vocabulary,
+    vocabulary: Vocabulary | KeyedVocabularies,
     prefix: str = "",
     max_source: int = MAX_SOURCE,
     max_target: int = MAX_TARGET,
@@ -180,10 +180,10 @@ def assemble_seq2seq(
 
 
 def sweep_examples(
-    rungs: DataFrame, id_col: str, vocabulary: Vocabulary, **options
+    rungs: DataFrame, id_col: str, vocabulary: Vocabulary | KeyedVocabularies, **options
 ) -> DataFrame:
     """``assemble_seq2seq`` for every rung of a ladder in one job; ids are unique within
-    their rung."""
+    their rung. The vocabulary is one for all, or one for each rung (``build_vocabularies`` by ``rung``)."""
     keyed = rungs.withColumn("_id", F.struct("rung", id_col))
     return assemble_seq2seq(keyed, "_id", vocabulary, **options).select(
         "_id.rung", F.col(f"_id.{id_col}").alias(id_col), "input_ids", "labels"

@@ -148,8 +148,11 @@ def scores(texts: str, stem: bool) -> str:
             LEFT JOIN longest USING (id) LEFT JOIN hits USING (id))"""
 
 
-def report(texts: str, stem: bool, percent: bool, digits: int) -> str:
-    """Means of all metrics as ``metric, value``."""
+def report(texts: str, stem: bool, percent: bool, digits: int, by: str = "") -> str:
+    """Means of all metrics as ``metric, value``; ``by`` is a column of ``texts`` that has means of its own."""
     mean = "100 * avg({m})" if percent else "avg({m})"
-    parts = [f"""SELECT '{m}' AS metric, round({mean.format(m=f'"{m}"')}, {digits}) AS value FROM scores""" for m in METRICS]
+    key, grouped = (f"{by}, ", f"JOIN texts USING (id) GROUP BY {by}") if by else ("", "")
+    parts = [
+        f"""SELECT {key}'{m}' AS metric, round({mean.format(m=f'"{m}"')}, {digits}) AS value FROM scores {grouped}""" for m in METRICS
+    ]
     return f"{scores(texts, stem)} {' UNION ALL '.join(parts)}"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from instructset.functions import arrays
 from instructset.functions import prompts as P
@@ -12,10 +16,11 @@ from instructset.functions.stem import stem_table
 from instructset.functions.text import TOKEN, WORD, tokens, word_count
 from instructset.operators import batching, dedup, evidence as ev, filters as flt, scoring, selection as sel
 from instructset.operators.reviews import joined_reviews, top_reviews
-from instructset.operators.vocabulary import build_vocabulary, decode, encode
-from instructset.plans import assembly, building
-from instructset.session import materialize
-from instructset.sources.readers import spread
+from instructset.operators.vocabulary import build_vocabularies, build_vocabulary, decode, encode
+from instructset.plans import assembly, building, evaluation
+from instructset.session import materialize, shared_dir
+from instructset.sources.readers import read_rungs, spread
+from instructset.sources.writers import write_jsonl
 from instructset.workload import rouge_sql
 from instructset.workload.inputs import (
     ID,
@@ -865,6 +870,76 @@ def _(t):
     )
 
 
+@query(
+    "rare_encoding",
+    f"""WITH counts AS (
+        SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents)
+        GROUP BY 1 HAVING count(*) > 1),
+    vocabulary AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 2)::BIGINT AS token_id FROM counts),
+    spread AS (SELECT doc_id, CASE WHEN unnest(toks) = '.' THEN 'no such token' ELSE unnest(toks) END AS token,
+        unnest(range(1, len(toks) + 1)) AS place
+        FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS toks FROM documents)),
+    coded AS (SELECT doc_id, string_agg(coalesce(token_id, 2)::VARCHAR, ' ' ORDER BY place) AS ids
+        FROM spread LEFT JOIN vocabulary USING (token) GROUP BY 1)
+    SELECT doc_id, coalesce(ids, '') AS ids FROM documents LEFT JOIN coded USING (doc_id)""",
+)
+def _(t):
+    """Most ids are found by the join, and the most frequent token is one that the vocabulary lacks."""
+    docs = _documents(t)
+    vocabulary = replace(build_vocabulary(docs, "text", min_count=2), common=100)
+    unknown = F.transform(tokens(F.col("text")), lambda x: F.when(x == ".", "no such token").otherwise(x))
+    coded = encode(docs.select("doc_id", unknown.alias("tokens")), "doc_id", "tokens", vocabulary, "ids")
+    return coded.select("doc_id", _text(F.col("ids")).alias("ids"))
+
+
+def _sweep(t):
+    """Rungs of training files, read back with their names."""
+    path = f"{shared_dir(t.spark)}/sweep-{uuid.uuid4().hex}"
+    rows = chat(t).select("id", F.col("prompt").alias("input"), F.col("response").alias("output"))
+    for rung, test in (("long", F.length("input") > 300), ("short", F.length("input") <= 300)):
+        write_jsonl(rows.filter(test), f"{path}/train_{rung}.jsonl")
+    return read_rungs(t.spark, path, T.StructType.fromDDL("id bigint, input string, output string"))
+
+
+SWEEP = f"""{CHAT}, rungs AS (SELECT CASE WHEN length(prompt) > 300 THEN 'long' ELSE 'short' END AS rung, id, prompt AS input,
+    response AS output FROM chat)"""
+
+
+def _sweep_ids(column: str, size: int) -> str:
+    return f"""SELECT rung, id, string_agg(token_id::VARCHAR, ' ' ORDER BY place) AS ids FROM (
+        SELECT rung, id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS place FROM (
+            SELECT rung, id, regexp_extract_all({column}, '{TOKEN}')[1:{size - 1}] AS toks FROM rungs))
+        JOIN vocabularies USING (rung, token) GROUP BY rung, id"""
+
+
+@query(
+    "sweep_assembly",
+    f"""WITH {SWEEP}, counts AS (SELECT rung, token, count(*) AS n FROM (
+            SELECT rung, unnest(regexp_extract_all(input, '{TOKEN}') || regexp_extract_all(output, '{TOKEN}')) AS token FROM rungs) GROUP BY ALL),
+        vocabularies AS (SELECT rung, token, row_number() OVER (PARTITION BY rung ORDER BY n DESC, token) + 2 AS token_id FROM counts)
+    SELECT rung, id, coalesce(a.ids || ' ', '') || '1' AS input_ids, coalesce(b.ids || ' ', '') || '1' AS labels
+    FROM rungs LEFT JOIN ({_sweep_ids("input", 64)}) a USING (rung, id) LEFT JOIN ({_sweep_ids("output", 32)}) b USING (rung, id)
+    WHERE length(input) > 0 AND length(output) > 0""",
+)
+def _(t):
+    """The examples of all rungs of a sweep in one job, each rung with its own vocabulary."""
+    rungs = _sweep(t)
+    vocabularies = replace(build_vocabularies(rungs, "rung", "input", "output"), common=2000)
+    rows = assembly.sweep_examples(rungs, "id", vocabularies, max_source=64, max_target=32)
+    return rows.select("rung", "id", _text(F.col("input_ids")).alias("input_ids"), _text(F.col("labels")).alias("labels"))
+
+
+SWEEP_TEXTS = f"""{SWEEP}, texts AS (SELECT id, rung, {rouge_sql.sentence_lines("input", sql_strip)} AS a,
+    {rouge_sql.sentence_lines("output", sql_strip)} AS b FROM rungs)"""
+
+
+@query("sweep_metrics", rouge_sql.report(SWEEP_TEXTS, True, True, 4, by="rung"))
+def _(t):
+    """Scores of the predictions of all rungs, the inputs standing in for references."""
+    scored = _sweep(t).select("rung", F.col("input").alias("output"), F.col("output").alias("model_output"))
+    return evaluation.sweep_report(scored)
+
+
 DECODED = f"""{CHAT}, decoded AS (SELECT id, prompt, regexp_extract_all(response, '{TOKEN}') AS ids FROM chat),
     texts AS (SELECT id, {rouge_sql.sentence_lines("prompt", sql_strip)} AS a,
         {rouge_sql.sentence_lines("array_to_string(ids, ' ')", sql_strip)} AS b FROM decoded)"""

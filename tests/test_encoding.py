@@ -1,3 +1,6 @@
+import dataclasses
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +45,37 @@ def test_encode_and_decode(spark, texts, monkeypatch, common):
     assert voc.decode(coded, "id", "input_ids", vocabulary).first().text == "cat"
 
 
+def test_rare_and_hot_unknown_tokens(spark, monkeypatch):
+    """Values that occur often are settled before the join, known ones and unknown ones."""
+    monkeypatch.setattr(voc, "HOT_VALUES", 3)
+    monkeypatch.setattr(voc, "HOT_COUNTERS", 64)
+    rng = random.Random(3)
+    words = ["hot", *["gone"] * 30, *["often"] * 20, *(f"w{i}" for i in range(40)), None]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randrange(30))]) for i in range(200)] + [(200, None), (201, [])]
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>")
+    known = spark.createDataFrame([(" ".join(["the"] * 9 + ["often", *(f"w{i}" for i in range(0, 40, 2))]),)], "text string")
+    whole = voc.build_vocabulary(known, "text")
+    small = dataclasses.replace(whole, common=4)
+    ids = {r.token: r.token_id for r in whole.table.collect()}
+    for vocabulary in (whole, small):
+        got = {r.id: r.input_ids for r in voc.encode(df, "id", "tokens", vocabulary).collect()}
+        assert got == {i: None if t is None else [ids.get(w, 2) for w in t] for i, t in rows}
+
+
+@pytest.mark.parametrize("common", [None, 8])
+def test_vocabularies_by_key(spark, common):
+    rows = [("a", 1, "x y x"), ("a", 2, "y z x"), ("b", 1, "z z q"), ("b", 3, "x"), (None, 9, "k"), ("b", 4, None)]
+    df = spark.createDataFrame(rows, "rung string, id int, text string")
+    made = voc.build_vocabularies(df, "rung", "text")
+    ids = {(r.rung, r.token): r.token_id for r in made.table.collect()}
+    assert ids == {("a", "x"): 3, ("a", "y"): 4, ("a", "z"): 5, ("b", "z"): 3, ("b", "q"): 4, ("b", "x"): 5, (None, "k"): 3}
+    made = dataclasses.replace(made, common=common)
+    keyed = df.select(F.struct("rung", "id").alias("key"), F.split("text", " ").alias("tokens"))
+    odd = keyed.unionByName(spark.createDataFrame([(("b", 7), ["y", "</s>", "z"])], keyed.schema))
+    got = {tuple(r.key): r.input_ids for r in voc.encode(odd, "key", "tokens", made).collect()}
+    assert got == {("a", 1): [3, 4, 3], ("a", 2): [4, 5, 3], ("b", 1): [3, 3, 4], ("b", 3): [5], (None, 9): [3], ("b", 4): None, ("b", 7): [2, 1, 3]}
+
+
 def test_tokenizer_hook(texts):
     def load():
         return lambda batch: [[len(word) for word in text.split()] for text in batch]
