@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from instructset import schemas
 from instructset.operators.scoring import entity_report, label_pairs, rouge_report, sample_count
 from instructset.operators.scoring import long_metrics
 from instructset.sources.readers import read_jsonl
+from instructset.sources.writers import write_observed
 
 
 def score_texts(spark: SparkSession, path: str, stemming: bool = False) -> DataFrame:
@@ -34,3 +37,15 @@ def samples(df: DataFrame, limit: int | None, split: str) -> DataFrame:
     """The metric ``<split>_samples``."""
     name = f"{split}_samples"
     return long_metrics(sample_count(df, limit, name), [name])
+
+
+def written_samples(
+    df: DataFrame, limit: int | None, split: str, write: Callable[[DataFrame], None], **measures: Column
+) -> DataFrame:
+    """The metric ``<split>_samples`` of the rows that ``write`` writes, at most ``limit``, and sums or
+    other aggregates of them as ``<split>_<name>``; all from the pass that writes."""
+    seen = write_observed(df, write, samples=F.count("*"), **measures)
+    if limit is not None:
+        seen["samples"] = min(limit, seen["samples"])
+    values = [(f"{split}_{name}", None if value is None else float(value)) for name, value in seen.items()]
+    return df.sparkSession.createDataFrame(values, "metric string, value double")

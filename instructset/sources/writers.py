@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from instructset.functions.labels import conll_block
@@ -73,6 +75,14 @@ def write_predictions(df: DataFrame, path: str, id_col: str, text_col: str = "mo
     df.orderBy(id_col).select(strip(F.col(text_col)).alias("value")).write.text(path)
 
 
+def write_observed(df: DataFrame, write: Callable[[DataFrame], None], **measures: Column) -> dict[str, object]:
+    """Hands ``df`` to ``write`` and returns aggregates of the rows that went by, from the same pass. They
+    are taken where the write ends, so that rows of a task that is tried again count once."""
+    seen = Observation()
+    write(df.observe(seen, *[value.alias(name) for name, value in measures.items()]))
+    return seen.get
+
+
 def write_metrics(metrics: DataFrame, path: str, run: str, split: str) -> None:
     """Append ``metric, value`` rows, tagged with the run and the metric group."""
     metrics.select(

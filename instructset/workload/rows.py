@@ -635,13 +635,22 @@ def _(t):
 
 @query(
     "metrics_scan",
-    """SELECT 'model-small' AS run, 'train' AS split, 'train_samples' AS metric, count(*)::DOUBLE AS value FROM documents
-        UNION ALL SELECT 'model-small', 'eval', 'eval_samples', least(50, count(*))::DOUBLE FROM documents""",
-)
-def _(t):
-    path = _copy(t, "metrics")
-    writers.write_metrics(evaluation.samples(t.documents, None, "train"), path, "model/small", "train")
-    writers.write_metrics(evaluation.samples(t.documents, 50, "eval"), path, "model/small", "eval")
+    f"""WITH sized AS (SELECT lang = 'en' AS held, {sql_words("text")} AS n FROM documents)
+        SELECT 'model-small' AS run, 'train' AS split, 'train_samples' AS metric, count(*)::DOUBLE AS value FROM sized WHERE NOT held
+        UNION ALL SELECT 'model-small', 'train', 'train_words', sum(n)::DOUBLE FROM sized WHERE NOT held
+        UNION ALL SELECT 'model-small', 'eval', 'eval_samples', least(50, count(*))::DOUBLE FROM sized WHERE held
+        UNION ALL SELECT 'model-small', 'eval', 'eval_words', sum(n)::DOUBLE FROM sized WHERE held""",
+)
+def _(t):
+    """Metrics of two sets of documents from the passes that write them."""
+    path, data = _copy(t, "metrics"), _copy(t, "measured")
+    held = F.col("lang") == "en"
+    for split, limit, test in (("train", None, ~held), ("eval", 50, held)):
+        rows = t.documents.filter(test).select("doc_id", "text")
+        found = evaluation.written_samples(
+            rows, limit, split, lambda df, to=f"{data}/{split}": writers.write_jsonl(df, to), words=F.sum(word_count(F.col("text")))
+        )
+        writers.write_metrics(found, path, "model/small", split)
     return t.spark.read.schema("run string, split string, metric string, value double").json(path)
 
 

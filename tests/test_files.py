@@ -249,3 +249,20 @@ def test_summaries_without_the_prompt_are_kept_beside(spark):
     kept, rejects = building.summary_rows(spark.createDataFrame(rows, "split string, input string, output string"))
     assert kept.collect() == [("train", "text", "s")]
     assert sorted(r.output for r in rejects.collect()) == ["n", "r"]
+
+
+def test_metrics_come_from_the_pass_that_writes(spark, tmp_path):
+    put(tmp_path / "in.json", [{"input": f"a {i}", "output": "o"} for i in range(30)])
+    df = readers.read_jsonl(spark, str(tmp_path / "in.json"), schemas.PAIR)
+
+    def write(rows):
+        assert not (tmp_path / "out").exists()
+        writers.write_jsonl(rows.repartition(3), str(tmp_path / "out"))
+        (tmp_path / "in.json").unlink()
+
+    # The source is gone before the metrics are read.
+    found = evaluation.written_samples(df, 20, "train", write, chars=F.sum(F.length("input")), none=F.max(F.lit(None).cast("int")))
+    assert sorted(found.collect()) == [("train_chars", 30 * 2 + 10 + 40), ("train_none", None), ("train_samples", 20.0)]
+    assert len(lines(tmp_path / "out")) == 30
+    empty = evaluation.written_samples(spark.createDataFrame([], schemas.PAIR), None, "eval", lambda r: writers.write_jsonl(r, str(tmp_path / "e")))
+    assert empty.collect() == [("eval_samples", 0.0)]
