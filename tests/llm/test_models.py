@@ -303,40 +303,6 @@ def test_pages_of_the_tables(spark):
         assert r.text == "\n\n".join(p for p in want if p)
 
 
-def test_lm_scores(spark, docs_of):
-    rows = [(0, "a b a b c"), (1, "a b"), (2, "c c c d"), (3, None), (4, "zz"), (5, "a  b\na")]
-    labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (2, 0, 0), (5, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
-    docs = lmscore.with_trust(docs_of(rows), labels)
-    got = {r.doc_id: r for r in lmscore.score(docs, lmscore.fit(docs, most_words=3, most_pairs=3)).collect()}
-    vocabulary = ["a", "b", "c"]
-    known = [("a", "b"), ("b", "a"), ("c", "c")]
-    seqs = {i: [w if w in vocabulary else "?" for w in WORD.findall(t or "")] for i, t in rows}
-    bits = {}
-    for side, ids in (("target", [0]), ("background", list(seqs))):
-        one = Counter(w for i in ids for w in seqs[i])
-        two = Counter(p for i in ids for p in zip(seqs[i], seqs[i][1:]))
-        total = sum(one.values()) + 0.5 * 4
-        single = {w: (one[w] + 0.5) / total for w in [*vocabulary, "?"]}
-        taken = {p: max(two[p] - 0.5, 0) for p in known}
-        freed = {w: 1 - sum(t for p, t in taken.items() if p[0] == w) / max(1, one[w]) for w in single}
-
-        def prob(left, right):
-            if left is None:
-                return single[right]
-            return taken.get((left, right), 0) / max(1, one[left]) + freed[left] * single[right]
-
-        assert all(abs(sum(prob(x, y) for y in single) - 1) < 1e-9 for x in single if one[x])
-        bits[side] = {i: [-math.log2(prob(x, y)) for x, y in zip([None, *s], s)] for i, s in seqs.items()}
-    for i, s in seqs.items():
-        assert got[i].n_tokens == len(s)
-        if s:
-            assert got[i].target_bits == pytest.approx(np.mean(bits["target"][i]), abs=1e-6)
-            assert got[i].background_bits == pytest.approx(np.mean(bits["background"][i]), abs=1e-6)
-            assert got[i].score == pytest.approx(got[i].target_bits - got[i].background_bits, abs=1e-6)
-        else:
-            assert got[i].score is None
-
-
 @pytest.mark.parametrize("trust", [True, False])
 def test_lm_scores_by_every_word_and_pair(spark, docs_of, folder_of, trust):
     """More distinct words and pairs than any fixed bound of before, and repeated ids, against counts by hand."""
@@ -351,22 +317,24 @@ def test_lm_scores_by_every_word_and_pair(spark, docs_of, folder_of, trust):
     for ids in (set(range(0, 4000, 7)) if trust else None, None):
         taught = [s for i, s in seqs if ids is None or i in ids]
         one, two = Counter(w for s in taught for w in s), Counter(p for s in taught for p in zip(s, s[1:]))
-        after = Counter(p[0] for p in two)
-        left = Counter(p[0] for s in taught for p in zip(s, s[1:]))
-        models.append((one, two, after, left, sum(one.values())))
-    vocabulary = len(models[1][0]) + 1
-    assert len(models[1][1]) > 1 << 16 and len(models[1][0]) > 1 << 16
-
-    def mean_bits(model, s):
-        one, two, after, left, total = model
-        single = [(one[w] + 0.5) / (total + 0.5 * vocabulary) for w in s]
+        models.append((ids, one, two, Counter(p[0] for s in taught for p in zip(s, s[1:]))))
+    vocabulary = len(models[1][1])
+    assert len(models[1][2]) > 1 << 16 and vocabulary > 1 << 16
+
+    def mean_bits(model, i, s):
+        """With the text's own counts taken off, if it taught."""
+        ids, one, two, left = model
+        mine = ids is None or i in ids
+        own = Counter(s), Counter(zip(s, s[1:])), Counter(s[:-1])
+        c1, c2, cx = (lambda key, c=c, o=o: c[key] - (o[key] if mine else 0) for c, o in zip((one, two, left), own))
+        total = one.total() - (len(s) if mine else 0)
+        single = [0.95 * c1(w) / total + 0.05 / (vocabulary + 1) for w in s]
         prob = single[:1]
         for x, y, alone in zip(s, s[1:], single[1:]):
-            context = max(1, one[x])
-            prob.append(max(two[x, y] - 0.5, 0) / context + (1 - (left[x] - 0.5 * after[x]) / context) * alone)
+            prob.append(0.6 * c2((x, y)) / cx(x) + 0.4 * alone if cx(x) else alone)
         return -sum(map(math.log2, prob)) / len(s)
 
-    want = [(i or -1, len(s), *((mean_bits(m, s) for m in models) if s else (0, 0))) for i, s in seqs]
+    want = [(i or -1, len(s), *((mean_bits(m, i, s) for m in models) if s else (0, 0))) for i, s in seqs]
     have = [(r.doc_id or -1, r.n_tokens, r.target_bits or 0, r.background_bits or 0) for r in got]
     assert np.allclose(sorted(have), sorted(want), atol=1e-6)
     assert all((r.score is None) == (r.n_tokens == 0) for r in got)
@@ -380,6 +348,30 @@ def test_lm_of_the_tables_and_of_none(spark, docs_of, folder_of):
     assert queries.QUERIES["op6_lm_score"](spark, folder_of(documents=docs_of([]), labels=none)).collect() == []
 
 
+def test_a_trusted_text_is_scored_as_if_it_had_not_taught(spark, docs_of):
+    """Its score is the one it gets beside the same others without trust, and a lone text teaches itself nothing."""
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 30))) for i in range(20)]
+    labels = "doc_id long, quality int, toxic int"
+    both = []
+    for ids in ((1, 2, 3, 4), (1, 2, 3)):
+        docs = lmscore.with_trust(docs_of(rows), spark.createDataFrame([(i, 1, 0) for i in ids], labels))
+        both.append({r.doc_id: r for r in lmscore.scored(docs).collect()})
+    assert both[0][4] == both[1][4] and both[0][5] != both[1][5]
+    alone = lmscore.scored(lmscore.with_trust(docs_of([(1, "a b a")]), spark.createDataFrame([(1, 1, 0)], labels))).collect()[0]
+    assert alone.target_bits == alone.background_bits == pytest.approx(math.log2(3)) and alone.score == 0
+
+
+def test_teaching_moves_a_score_by_little(spark):
+    """Good rows of the tables that taught and good rows that did not, beside bad ones."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    taught = labels.where("quality = 1 AND doc_id % 2 = 0")
+    docs = lmscore.with_trust(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), taught)
+    rows = lmscore.scored(docs).join(labels, "doc_id").where("n_tokens > 20").collect()
+    mean = {k: np.mean([r.score for r in rows if (r.quality, r.doc_id % 2 == 0 and r.quality == 1) == k]) for k in ((1, True), (1, False), (0, False))}
+    assert abs(mean[1, True] - mean[1, False]) < 0.25 * (mean[0, False] - mean[1, False])
+
+
 def paragraphs(text):
     return {p for p in re.split(r"\n|(?<=[.!?$])[ \t\r]+", text) if p}
 
