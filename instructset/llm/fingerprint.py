@@ -142,9 +142,11 @@ def next_document(docs: DataFrame, ranges: int, columns: list[str]) -> DataFrame
     first = F.create_map(*(F.lit(x) for r, (low, _, _) in before.items() for x in (r, low)))
     extra = F.array(F.struct(moved[F.col("_range")].alias("range"), F.lit(True).alias("carried")))
     own = own.withColumn("_place", F.explode(F.when(key == first[F.col("_range")], F.concat(places, extra)).otherwise(places)))
-    order = W.partitionBy("_place.range").orderBy("_place.carried", key, "text")
-    found = own.withColumn("_next", F.lead(F.struct(*columns)).over(order))
-    return found.where("NOT _place.carried").drop("_range", "_place")
+    own = own.select("*", F.col("_place.range").alias("_at"), F.col("_place.carried").alias("_carried"))
+    # A range to a partition: hashed numbers would leave some partitions with several ranges and some with none.
+    own = own.repartitionById(ranges, "_at")
+    found = own.withColumn("_next", F.lead(F.struct(*columns)).over(W.partitionBy("_at").orderBy("_carried", key, "text")))
+    return found.where("NOT _carried").drop("_range", "_place", "_at", "_carried")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
