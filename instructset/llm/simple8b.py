@@ -187,7 +187,7 @@ def write_ids(
     """Write the ids of all documents, each with ``end_id`` after it, and return the folder.
 
     The folder is made in the one named by ``spark.checkpoint.dir``. Documents are encoded where
-    they lie and only their ids are sorted, over ``parts`` file parts (the session's number of
+    they lie and only their ids are sorted (documents of one doc_id by their ids as bytes), over ``parts`` file parts (the session's number of
     shuffle partitions if not given)."""
     spark = docs.sparkSession
     prepare(spark)
@@ -232,7 +232,7 @@ def write_ids(
 
     # Ranges come from the ids alone; a range partitioning of encoded rows would encode them twice.
     coded = _encoded(docs, spec, end_id, kind).withColumn("range", id_range(texts(docs), n))
-    ordered = coded.repartitionById(n, "range").drop("range").sortWithinPartitions("doc_id")
+    ordered = coded.repartitionById(n, "range").drop("range").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(folder)
     return folder
 

@@ -173,3 +173,15 @@ def test_empty_tables(spark, docs_of, folder_of):
     folder = folder_of(documents=docs_of([]))
     for name in ("op8_bpe", "op9_packing", "op10_token_files"):
         assert queries.QUERIES[name](spark, folder).collect() == []
+
+
+def test_equal_ids_have_one_order(spark, docs_of):
+    """Whatever the partitions, documents of one id lie in the order of their ids."""
+    rows = [(5, f"text number {i} " + "x " * (i % 7)) for i in range(40)] + [(None, "a b"), (None, "c"), (2, "d")]
+    found = set()
+    for parts in (1, 4, 9):
+        files = simple8b.write_ids(docs_of(rows).repartition(parts), public_tokenizers.path(FILES[1]), parts=3)
+        got = simple8b.read_documents(spark, files, digests=True).orderBy("start").collect()
+        assert len(got) == len(rows) and sum(r.n_tokens for r in got[:-1]) == got[-1].start
+        found.add(tuple(map(tuple, got)))
+    assert len(found) == 1
