@@ -110,18 +110,28 @@ def _lowered(texts: pa.Array) -> pa.Array:
 
 
 def train(docs: DataFrame, sample_bytes: int = 6_000_000, longest: int = 1 << 20) -> Trees | None:
-    """Trees from ``docs`` with doc_id, text and lang; rows with a null text or lang teach nothing."""
-    usable = docs.select("doc_id", "text", "lang", F.octet_length("text").alias("size")).where(
-        F.col("lang").isNotNull() & F.col("size").between(1, longest)
+    """Trees from ``docs`` with doc_id, text and lang; rows with a null text or lang teach nothing.
+
+    Each language has an equal share of ``sample_bytes``, drawn by hash, and one draw at least, so that none
+    is left out. A text over ``longest`` bytes is drawn by pieces of a quarter of that many characters."""
+    step = longest // 4
+    whole = docs.select("doc_id", "text", "lang", F.octet_length("text").alias("size")).where(
+        F.col("lang").isNotNull() & (F.col("size") >= 1)
     )
-    sizes = {r.lang: r.size for r in usable.groupBy("lang").agg(F.sum("size").alias("size")).collect()}
-    if not sizes:
+    long = F.col("size") > longest
+    last = F.when(long, F.floor((F.length("text") - 1) / step)).otherwise(F.lit(0)).cast("int")
+    pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    text = F.when(long, F.substring(F.col("text"), F.col("piece") * step + 1, F.lit(step))).otherwise(F.col("text"))
+    named = F.when(F.col("piece") == 0, F.xxhash64("doc_id", "size")).otherwise(F.xxhash64("doc_id", "size", "piece"))
+    usable = pieces.select("lang", text.alias("text"), F.pmod(named, F.lit(1 << 30)).alias("draw"))
+    shares = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.min("draw").alias("least")).collect()
+    if not shares:
         return None
     share = F.lit(0)
-    for name, size in sizes.items():
-        part = min(1.0, sample_bytes / len(sizes) / size)
-        share = F.when(F.col("lang") == name, int(part * (1 << 30))).otherwise(share)
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 30)) < share)
+    for r in shares:
+        part = min(1.0, sample_bytes / len(shares) / r.size)
+        share = F.when(F.col("lang") == r.lang, max(int(part * (1 << 30)), r.least + 1)).otherwise(share)
+    drawn = usable.where(F.col("draw") < share)
     rows = drawn.select("lang", "text").toArrow()
     texts = {}
     for name in sorted(set(rows.column("lang").to_pylist())):
@@ -137,9 +147,9 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFra
     prepare(spark)
     model = spark.sparkContext.broadcast(trees)
     kept = docs.drop("lang_pred", "score", "bits")
-    kept = kept.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    kept = kept.withColumn("_has a letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
-    names = [c for c in kept.columns if c != "_letter"]
+    names = [c for c in kept.columns if c != "_has a letter"]
     schema = T.StructType([*(kept.schema[c] for c in names), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +165,7 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFra
                     least = bits.min(1, keepdims=True)
                     score = 1 / np.exp2(least - bits).sum(1)
                     rate = least[:, 0] / np.maximum(1, np.diff(edges))
-                    letters = part.column("_letter").to_pylist()
+                    letters = part.column("_has a letter").to_pylist()
                     results = [
                         (own.languages[b], s, r) if has else (UNKNOWN, 0.0, None)
                         for b, s, r, has in zip(best.tolist(), score.tolist(), rate.tolist(), letters, strict=True)

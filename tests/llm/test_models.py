@@ -237,6 +237,22 @@ BESIDE = [
 ]
 
 
+def test_no_language_is_left_out_of_the_draw(spark, docs_of):
+    """Few documents, long ones only, and a share that is less than a document."""
+    long = "ein sehr langer Text mit Umlauten wie äöü und ß. " * 30_000
+    rows = [(i, "the words of this and that are here with others. " * 40, "en") for i in range(300)]
+    rows += [(1000, long, "de"), (1001, "les mots de cette langue sont là et ailleurs. " * 200, "fr"), (1002, None, "xx"), (1003, "", "yy")]
+    df = docs_of(rows)
+    for size in (6_000_000, 1000, 1):
+        trees = langid.train(df, size)
+        assert trees.languages == ["de", "en", "fr"]
+        assert langid.train(df.repartition(7), size).languages == trees.languages
+    asked = docs_of([(0, "ein Text mit Umlauten und langer"), (1, "the words that are here"), (2, "les mots de langue sont ailleurs")])
+    assert [r.lang_pred for r in langid.predict(asked, langid.train(df)).orderBy("doc_id").collect()] == ["de", "en", "fr"]
+    odd = asked.withColumnsRenamed({"lang": "_letter"})
+    assert langid.predict(odd, langid.train(df)).columns == ["doc_id", "text", "_letter", "source", "n_chars", "lang_pred", "score", "bits"]
+
+
 def trained_weights():
     page = f"<body><nav><ul><li><a href=x>x</a></ul></nav><div>ad</div><article><h1>t</h1>{LONG}</article></body>"
     return pages.weights({k: 3000 * n for k, n in pages.counted(page).items()})
