@@ -28,7 +28,12 @@ from instructset.llm.common import prepare, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op2_neardup": oracles.NEAR_DUPLICATES, "op3_substrings": oracles.SUBSTRINGS}
+ORACLES: dict[str, str] = {
+    "op2_neardup": oracles.NEAR_DUPLICATES,
+    "op3_substrings": oracles.SUBSTRINGS,
+    "op12_clusters": oracles.CLUSTERS,
+    "op13_conversations": oracles.CONVERSATIONS,
+}
 
 
 def query(run: Query) -> Query:
