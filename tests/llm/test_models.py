@@ -436,3 +436,19 @@ def test_peeling_without_larger_sketches_gives_up(spark):
     assert df.selectExpr(f"{fingerprint._first_try('ac', 'bc')} AS d").where("d IS NOT NULL").isEmpty()
     got = fingerprint.with_likeness(df, "near", "a", "b", "ac", "bc").collect()
     assert all(r.near == pytest.approx(21 / 61) for r in got)
+
+
+def test_stretches_hold_every_text_and_token_once(monkeypatch):
+    monkeypatch.setattr(lmscore, "STRETCH", 5)
+    texts = ["a b c", None, "", "d", "e f g h i j k l m", "n o", "", "p q r s t u"]
+    rows = {"doc_id": range(len(texts)), "text": texts, "trusted": [i % 2 == 0 for i in range(len(texts))]}
+    p = lmscore._Portion(pa.table({**rows, "doc_id": list(rows["doc_id"])}))
+    p.name_words()
+    parts = list(p.stretches())
+    assert len(parts) > 2
+    assert [i for s, _, _ in parts for i in range(s.start, s.stop)] == list(range(len(texts)))
+    assert [i for _, t, _ in parts for i in range(t.start, t.stop)] == list(range(len(p.word)))
+    assert [i for _, _, j in parts for i in range(j.start, j.stop)] == list(range(len(p.inner)))
+    for some, tokens, inner in parts:
+        assert p.n[some].sum() == tokens.stop - tokens.start
+        assert all(tokens.start < x < tokens.stop for x in p.inner[inner])
