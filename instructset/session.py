@@ -5,10 +5,17 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows and bytes of text that a Python worker is sent at a time, and what opening one of many small files
+# counts as, in bytes, when files are dealt to tasks.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+SMALL_FILE = 1 << 16
+
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -59,6 +66,27 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a Python worker holds a few MB at a time; smaller ones that are set stay."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    for name, limit in limits.items():
+        now = spark.conf.get(name)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= limit:
+            spark.conf.set(name, str(limit))
+
+
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside read thousands of small files in a task, where the usual few tens make more tasks than work."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(SMALL_FILE))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from the written table.
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from instructset import schemas
 from instructset.operators.positions import with_row_index
+from instructset.session import materialize, small_files
 
 # Accepted extensions of pair files, column pairs of known datasets, and the
 # texts that a tab-separated source means as missing.
@@ -56,6 +57,13 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], schema: T.Str
     return df.withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def stored_documents(df: DataFrame) -> DataFrame:
+    """``df``, read from many small files, as a table: each file is opened once, thousands of them in a task, for
+    all that is made of it."""
+    with small_files(df.sparkSession):
+        return materialize(df, "documents")
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],

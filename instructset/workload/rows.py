@@ -571,12 +571,13 @@ def _(t):
         F.transform("all", lambda r: F.struct(r["text"], r["rating"], r["helpful_votes"])).alias("customer_reviews"),
     )
     writers.write_named_files(products, given)
-    read = readers.read_documents(t.spark, given, schemas.REVIEWED_PRODUCT)
+    read = readers.stored_documents(readers.read_documents(t.spark, given, schemas.REVIEWED_PRODUCT))
     out = []
     for kind in ("verdict", "pros", "cons"):
         found, rejects = building.build_review_summaries(read, kind)
         writers.write_named_files(found, f"{built}/{kind}")
-        again = readers.read_documents(t.spark, f"{built}/{kind}", T.StructType.fromDDL("input string, output string"))
+        summaries = readers.read_documents(t.spark, f"{built}/{kind}", T.StructType.fromDDL("input string, output string"))
+        again = readers.stored_documents(summaries)
         out.append(again.select(F.lit(kind).alias("kind"), "file_name", "input", "output"))
     none = F.lit(None).cast("string")
     out.append(rejects.select(F.lit("reject").alias("kind"), "file_name", none.alias("input"), none.alias("output")))

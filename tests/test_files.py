@@ -1,8 +1,10 @@
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from instructset import schemas
 from instructset.functions.text import one_line
@@ -266,3 +268,18 @@ def test_metrics_come_from_the_pass_that_writes(spark, tmp_path):
     assert len(lines(tmp_path / "out")) == 30
     empty = evaluation.written_samples(spark.createDataFrame([], schemas.PAIR), None, "eval", lambda r: writers.write_jsonl(r, str(tmp_path / "e")))
     assert empty.collect() == [("eval_samples", 0.0)]
+
+
+def test_many_documents_are_read_once_in_few_tasks(spark, tmp_path):
+    """Small files are written by as many tasks as there are partitions, and read thousands in a task."""
+    rows = spark.range(400).select(F.concat("id", F.lit(".json")).alias("file_name"), F.col("id").alias("n"))
+    writers.write_named_files(rows, f"{tmp_path}/docs")
+    assert len([f for f in os.listdir(f"{tmp_path}/docs") if f.endswith(".json")]) == 400
+    read = readers.read_documents(spark, f"{tmp_path}/docs", T.StructType.fromDDL("n bigint"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    stored = readers.stored_documents(read)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert {r.file_name: r.n for r in stored.collect()} == {f"{i}.json": i for i in range(400)}
+    # Each task that read has left a file of the table.
+    assert len(stored.inputFiles()) <= spark.sparkContext.defaultParallelism + 1
+    assert all("documents-" in f for f in stored.inputFiles())
