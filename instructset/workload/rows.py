@@ -605,7 +605,7 @@ def _(t):
     for i, split in enumerate(splits):
         rows = t.documents.filter(F.col("doc_id") % 3 == i).select(name, text.alias("input"), F.col("source").alias("output"))
         writers.write_named_files(rows, f"{path}/{split}")
-    pairs = readers.read_split_folders(t.spark, path, schemas.PAIR, splits, documents=True)
+    pairs = readers.stored_documents(readers.read_split_folders(t.spark, path, schemas.PAIR, splits, documents=True))
     kept, rejects = building.summary_rows(pairs)
     writers.write_csv(kept, csv, by="split")
     table = readers.read_csv(t.spark, [f"{csv}/split={s}" for s in splits], schemas.CSV_PAIR, multi_line=True)
