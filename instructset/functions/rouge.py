@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from instructset.functions import rouge_kernel
+from instructset.functions.lookup import places
 from instructset.functions.stem import stem_table, token_stem
-from instructset.session import materialize
+from instructset.session import materialize, small_batches
 
 #: Stems up to which they are sent to the tasks.
 MOST_STEMS = 1_000_000
@@ -104,7 +105,7 @@ def _hits(metrics: Sequence[str], known: Broadcast | None):
 
     def stems(distinct: pa.Array) -> pa.Array:
         table = known.value
-        place = pc.index_in(distinct, value_set=table.column("token").combine_chunks().cast(distinct.type))
+        place = places(distinct, table.column("token").combine_chunks())
         return pc.coalesce(table.column("stem").combine_chunks().cast(distinct.type).take(place), distinct)
 
     @F.arrow_udf(T.StructType(fields))
@@ -138,6 +139,7 @@ def with_scores(
             own = materialize(own.withColumns({side: stemmed_text(F.col(side)) for side in sides}), "stemmed")
         else:
             known = df.sparkSession.sparkContext.broadcast(table)
+    small_batches(df.sparkSession)
     counted = own.withColumn("_hits", _hits(metrics, known)(*sides)).drop(*sides)
     scores = {m: f_measure(*[F.col(f"_hits.{m}{part}") for part in ("", "_right", "_left")]) for m in metrics}
     return counted.withColumns(scores).drop("_hits")

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from instructset.functions.lookup import places
 from instructset.functions.prompts import EOS_TOKEN, PAD_TOKEN, UNK_TOKEN
 from instructset.functions.text import tokens
 from instructset.operators.positions import with_global_rank
-from instructset.session import materialize
+from instructset.session import materialize, small_batches
 
 # The special tokens, which have the first ids.
 SPECIALS = (PAD_TOKEN, EOS_TOKEN, UNK_TOKEN)
@@ -130,17 +131,6 @@ def _is_large(vocabulary: Vocabulary) -> bool:
     return vocabulary.size + len(vocabulary.specials) > _common_ids(vocabulary)
 
 
-_last_index: list[tuple[pa.Array, pd.Index]] = []
-
-
-def _index_of(words: Broadcast) -> pd.Index:
-    """The hash table of a broadcast list of tokens, made once in a worker for all its batches."""
-    listed = words.value
-    if not _last_index or _last_index[0][0] is not listed:
-        _last_index[:] = [(listed, pd.Index(listed.to_numpy(zero_copy_only=False)))]
-    return _last_index[0][1]
-
-
 def _look_up(values: Column, words: Broadcast, to_ids: bool) -> Column:
     """Each array element replaced by its id or token; null where it has none here."""
     target = T.IntegerType() if to_ids else T.StringType()
@@ -150,8 +140,7 @@ def _look_up(values: Column, words: Broadcast, to_ids: bool) -> Column:
         table = words.value
         flat = arrays.flatten()
         if to_ids:
-            at = _index_of(words).get_indexer(flat.to_numpy(zero_copy_only=False))
-            found = pa.array(at, pa.int32(), mask=at < 0)
+            found = places(flat, table)
         else:
             known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
             found = table.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
@@ -171,16 +160,14 @@ def _frequent(gaps: DataFrame) -> list:
 
 
 def _resolve_rare(
-    looked_up: DataFrame, id_col: str, source: str, found: str, rare: DataFrame
+    looked_up: DataFrame, id_col: str, source: str, found: str, rare: DataFrame, keep: bool
 ) -> DataFrame:
     """Fill the nulls of ``found`` from ``rare`` (``_value``, ``_result``).
 
     Only array elements that were not among the common ones are spread out and shuffled. A value
     that the vocabulary lacks can still be frequent: such values are found by a sketch, looked up on their own and
-    settled where they stand, so that no key of the join is hot.
+    settled where they stand, so that no key of the join is hot. ``source`` is written only to ``keep`` it.
     """
-    # Read by the sketch, by the join and by what is filled.
-    looked_up = materialize(looked_up, "looked-up")
     gaps = F.array_compact(
         F.transform(
             F.arrays_zip(F.col(source).alias("value"), F.col(found).alias("result")),
@@ -189,7 +176,11 @@ def _resolve_rare(
             ),
         )
     )
-    spread = looked_up.select(id_col, F.inline(gaps))
+    # Read by the sketch, by the join and by what is filled; the gaps are all that the first two read.
+    open_ = looked_up.withColumn("_gaps", gaps)
+    looked_up = materialize(open_ if keep else open_.drop(source), "looked-up")
+    spread = looked_up.select(id_col, F.inline("_gaps"))
+    looked_up = looked_up.drop("_gaps")
     hot = _frequent(spread)
     answers = spread.join(rare, "_value", "left")
     if hot:
@@ -222,19 +213,24 @@ def encode(
     token_col: str,
     vocabulary: Vocabulary | KeyedVocabularies,
     out_col: str = "input_ids",
+    keep: bool = True,
 ) -> DataFrame:
-    """Adds the ids of an array of tokens. Frequent tokens are looked up in place; with a
-    vocabulary larger than that, the others are joined. With keyed vocabularies a row's key is the field
-    of that name in its id."""
+    """Adds the ids of an array of tokens, or without ``keep`` puts them in its place. Frequent tokens are looked up
+    in place; with a vocabulary larger than that, the others are joined. With keyed vocabularies a row's key is the
+    field of that name in its id."""
+    small_batches(df.sparkSession)
     if isinstance(vocabulary, KeyedVocabularies):
-        return _encode_keyed(df, id_col, token_col, vocabulary, out_col)
+        coded = _encode_keyed(df, id_col, token_col, vocabulary, out_col)
+        return coded if keep else coded.drop(token_col)
     words = df.sparkSession.sparkContext.broadcast(_common(vocabulary))
     coded = df.withColumn(out_col, _look_up(F.col(token_col), words, to_ids=True))
     if _is_large(vocabulary):
         rare = vocabulary.table.filter(F.col("token_id") >= _common_ids(vocabulary)).select(
             F.col("token").alias("_value"), F.col("token_id").alias("_result")
         )
-        coded = _resolve_rare(coded, id_col, token_col, out_col, rare)
+        coded = _resolve_rare(coded, id_col, token_col, out_col, rare, keep)
+    elif not keep:
+        coded = coded.drop(token_col)
     unknown = F.lit(vocabulary.unk_id)
     return coded.withColumn(out_col, F.transform(out_col, lambda x: F.coalesce(x, unknown)))
 
@@ -260,7 +256,7 @@ def _encode_keyed(
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(arrays: pa.Array) -> pa.Array:
         listed, numbers = words.value
-        at = pc.index_in(arrays.flatten(), value_set=listed.cast(arrays.type.value_type))
+        at = places(arrays.flatten(), listed)
         sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
         offsets = pa.array([0, *sizes.cumsum()], pa.int32())
         return pa.ListArray.from_arrays(offsets, numbers.take(at), mask=arrays.is_null())
@@ -270,24 +266,28 @@ def _encode_keyed(
     coded = named.withColumn(out_col, run(F.col("_keyed")))
     if vocabularies.size > share:
         rare = whole.filter(F.col("_result") >= share)
-        coded = _resolve_rare(coded, id_col, "_keyed", out_col, rare)
+        coded = _resolve_rare(coded, id_col, "_keyed", out_col, rare, False)
     unknown = F.lit(vocabularies.unk_id)
     return coded.withColumn(out_col, F.transform(out_col, lambda x: F.coalesce(x, unknown))).drop("_keyed")
 
 
 def decode(
-    df: DataFrame, id_col: str, ids_col: str, vocabulary: Vocabulary, out_col: str = "text"
+    df: DataFrame, id_col: str, ids_col: str, vocabulary: Vocabulary, out_col: str = "text", keep: bool = True
 ) -> DataFrame:
-    """Adds the tokens of an array of ids, joined by spaces; special ids are skipped."""
+    """Adds the tokens of an array of ids, joined by spaces, or without ``keep`` puts them in its place; special ids
+    are skipped."""
+    small_batches(df.sparkSession)
     specials = len(vocabulary.specials)
     words = df.sparkSession.sparkContext.broadcast(_common(vocabulary))
     plain = df.withColumn("_ids", F.filter(ids_col, lambda x: x >= specials))
+    if not keep:
+        plain = plain.drop(ids_col)
     spelled = plain.withColumn(out_col, _look_up(F.col("_ids"), words, to_ids=False))
     if _is_large(vocabulary):
         rare = vocabulary.table.filter(F.col("token_id") >= _common_ids(vocabulary)).select(
             F.col("token_id").alias("_value"), F.col("token").alias("_result")
         )
-        spelled = _resolve_rare(spelled, id_col, "_ids", out_col, rare)
+        spelled = _resolve_rare(spelled, id_col, "_ids", out_col, rare, False)
     return spelled.withColumn(out_col, F.array_join(out_col, " ")).drop("_ids")
 
 

@@ -1,14 +1,18 @@
 import dataclasses
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from instructset.functions import arrays
+from instructset.functions.lookup import places
 from instructset.functions.text import tokens
 from instructset.operators import batching
 from instructset.operators import vocabulary as voc
 from instructset.plans import assembly
+from instructset.session import materialize
 
 TEXTS = [(1, "the cat sat, the cat ran"), (2, "a dog sat"), (3, ""), (4, None), (5, "the end.")]
 
@@ -177,3 +181,30 @@ def test_assembled_seq2seq(spark):
         df.withColumn("rung", F.explode(F.array(F.lit("1k"), F.lit("5k")))), "id", vocabulary
     )
     assert sorted((r.rung, r.id) for r in swept.collect()) == [("1k", 1), ("5k", 1)]
+
+
+def test_lookup_makes_no_python_objects_of_the_list():
+    """Places are found from the distinct values of a batch; nulls, absent values and slices are told apart."""
+    listed = pa.array([f"t{i}" for i in range(50_000)])
+    values = pa.array(["t7", None, "x", "t49999", "t7", "t0"])
+    assert places(values, listed).to_pylist() == [7, None, None, 49999, 7, 0]
+    assert places(values.slice(2, 2), listed).to_pylist() == [None, 49999]
+    assert places(pa.array([], pa.string()), listed).to_pylist() == []
+    tracemalloc.start()
+    places(values, listed)
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+
+
+def test_rare_lookup_writes_no_tokens_that_are_not_kept(spark, texts, monkeypatch):
+    """With rare tokens the rows are written: ids and gaps, and batches sent to Python are small."""
+    written = []
+    monkeypatch.setattr(voc, "materialize", lambda df, label: written.append(df.columns) or materialize(df, label))
+    vocabulary = dataclasses.replace(voc.build_vocabulary(texts, "text"), common=4)
+    coded = voc.encode(texts.select("id", "tokens"), "id", "tokens", vocabulary, keep=False)
+    assert {r.id: r.input_ids for r in coded.collect()}[1] == [3, 4, 5, 6, 3, 4, 11]
+    back = voc.decode(coded, "id", "input_ids", vocabulary, keep=False)
+    assert {r.id: r.text for r in back.collect()}[1] == "the cat sat , the cat ran"
+    assert coded.columns == ["id", "input_ids"] and back.columns == ["id", "text"]
+    assert written == [["id", "input_ids", "_gaps"], ["id", "text", "_gaps"]]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
