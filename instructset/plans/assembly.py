@@ -71,10 +71,8 @@ def instruction_examples(
         .withColumn("_given", F.size("_given"))
         .filter(within_length(F.col("_tokens"), max_length))
     )
-    coded = encode(ready, id_col, "_tokens", vocabulary)
-    return coded.withColumn("labels", mask_prompt(F.col("input_ids"), F.col("_given"))).drop(
-        "_given", "_tokens"
-    )
+    coded = encode(ready, id_col, "_tokens", vocabulary, keep=False)
+    return coded.withColumn("labels", mask_prompt(F.col("input_ids"), F.col("_given"))).drop("_given")
 
 
 def assemble_instructions(
@@ -136,12 +134,9 @@ def assemble_mixed(
         ),
     )
     given = F.size(tokens(mixed_prompt(marker, system, prompt))) if mask else F.lit(0)
-    coded = encode(
-        ready.withColumns({"_given": given, "_tokens": truncate(F.col("_tokens"), max_length)}),
-        id_col,
-        "_tokens",
-        vocabulary,
-    )
+    # No texts beside their tokens, so that they aren't written with the rare ones.
+    cut = ready.select(id_col, given.alias("_given"), truncate(F.col("_tokens"), max_length).alias("_tokens"))
+    coded = encode(cut, id_col, "_tokens", vocabulary, keep=False)
     return coded.withColumn("labels", mask_prompt(F.col("input_ids"), F.col("_given"))).select(
         id_col, "input_ids", "labels"
     )
@@ -168,7 +163,7 @@ def assemble_seq2seq(
     ready = pairs.withColumns({"_source": source, "_target": target}).select(
         id_col, F.concat("_source", "_target").alias("_tokens"), F.size("_source").alias("_n")
     )
-    coded = encode(ready, id_col, "_tokens", vocabulary)
+    coded = encode(ready, id_col, "_tokens", vocabulary, keep=False)
     ids = F.slice("input_ids", F.lit(1), F.col("_n"))
     labels = F.slice("input_ids", F.col("_n") + 1, F.size("input_ids"))
     if pad_to_max:

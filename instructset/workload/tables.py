@@ -429,7 +429,7 @@ def _encoded(t):
     docs = _documents(t)
     vocabulary = build_vocabulary(docs, "text")
     rows = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    return vocabulary, encode(rows, "doc_id", "tokens", vocabulary, "ids").drop("tokens")
+    return vocabulary, encode(rows, "doc_id", "tokens", vocabulary, "ids", keep=False)
 
 
 def _text(ids):
@@ -477,7 +477,7 @@ def _(t):
 )
 def _(t):
     vocabulary, coded = _encoded(t)
-    return decode(coded, "doc_id", "ids", vocabulary).select("doc_id", "text")
+    return decode(coded, "doc_id", "ids", vocabulary, keep=False).select("doc_id", "text")
 
 
 @query(
@@ -888,7 +888,7 @@ def _(t):
     docs = _documents(t)
     vocabulary = replace(build_vocabulary(docs, "text", min_count=2), common=100)
     unknown = F.transform(tokens(F.col("text")), lambda x: F.when(x == ".", "no such token").otherwise(x))
-    coded = encode(docs.select("doc_id", unknown.alias("tokens")), "doc_id", "tokens", vocabulary, "ids")
+    coded = encode(docs.select("doc_id", unknown.alias("tokens")), "doc_id", "tokens", vocabulary, "ids", keep=False)
     return coded.select("doc_id", _text(F.col("ids")).alias("ids"))
 
 
@@ -953,7 +953,7 @@ def _(t):
     pairs = spread(chat(t), "id")
     vocabulary = build_vocabulary(pairs, "prompt", "response")
     coded = encode(
-        pairs.withColumn("tokens", tokens(F.col("response"))), "id", "tokens", vocabulary, "ids"
+        pairs.select("id", "prompt", tokens(F.col("response")).alias("tokens")), "id", "tokens", vocabulary, "ids", keep=False
     )
     decoded = decode(coded, "id", "ids", vocabulary, "generated")
     report = scoring.generation_report(decoded, "prompt", "generated", "ids", vocabulary.pad_id)
