@@ -550,11 +550,11 @@ def _(t):
 )
 def _(t):
     _, coded = _encoded(t)
-    rows = coded.select(
-        "doc_id", F.col("ids").alias("input_ids"), arrays.mask_prompt(F.col("ids"), F.lit(5)).alias("labels")
-    )
+    # Ranks are counted before they are given, which would encode twice; labels are made where the rows end up.
+    rows = materialize(coded.select("doc_id", F.col("ids").alias("input_ids")), "coded")
+    dealt = batching.length_batches(rows, "doc_id", F.size("input_ids"), 8)
     batches = batching.padded_batches(
-        batching.length_batches(rows, "doc_id", F.size("input_ids"), 8), pad=0
+        dealt.withColumn("labels", arrays.mask_prompt(F.col("input_ids"), F.lit(5))), pad=0
     )
     return batches.select(
         "batch_id",
