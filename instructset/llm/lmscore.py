@@ -34,6 +34,8 @@ from instructset.llm.hashing import mix, passes, words_of
 
 #: The weight of pairs against single words, and that of all words alike within single words.
 PAIR, EVEN = 0.6, 0.05
+#: Bitmaps of trusted ids that are sent, of 4 kB for 32,768 ids each: 64 MB at most.
+MOST_BITMAPS = 1 << 14
 #: Bytes of text in a portion, about; there are as many ranges of hashes as portions, and some at least for small tables.
 PORTION, LEAST_PORTIONS = 1 << 24, 16
 #: Tokens whose probabilities are worked out at a time.
@@ -41,20 +43,29 @@ STRETCH = 1 << 18
 SCORES = "doc_id long, n_tokens long, target_bits double, background_bits double, score double"
 
 
-def with_trust(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> DataFrame:
-    """doc_id, text, trusted: by about ``trusted`` labels of good and not toxic rows (all, if fewer), drawn by hash."""
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, trusted: by all labels of good and not toxic rows.
+
+    Their ids go to the tasks as bitmaps, a bit for each id of a range, so that no text is shuffled; ids too far apart
+    for that are joined."""
     good = (
         labels.where("doc_id IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
         .where("good")
-        .select("doc_id", F.lit(True).alias("_good"))
+        .select(F.col("doc_id").cast("long").alias("doc_id"))
     )
-    n = good.count()
-    if n > trusted:
-        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(trusted / n * (1 << 30)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
-    return rows.select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("trusted"))
+    number, position = F.bitmap_bucket_number("doc_id").alias("_number"), F.bitmap_bit_position("doc_id")
+    bits = good.groupBy(number).agg(F.bitmap_construct_agg(position).alias("_bits"))
+    rows = docs.select("doc_id", "text")
+    if good.select(number).distinct().limit(MOST_BITMAPS + 1).count() > MOST_BITMAPS:
+        joined = rows.join(good.withColumn("_good", F.lit(True)), "doc_id", "left")
+    else:
+        byte = F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))
+        bit = F.expr("getbit(CAST(conv(hex(_byte), 16, 10) AS int), CAST(_at AS int)) = 1")
+        placed = rows.withColumn("_number", number).join(F.broadcast(bits), "_number", "left")
+        joined = placed.select("doc_id", "text", byte.alias("_byte"), (position % 8).alias("_at")).withColumn("_good", bit)
+    return joined.select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("trusted"))
 
 
 class _Portion:

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from instructset.llm import fingerprint, langid, lmscore, pages, quality, queries
 
@@ -377,6 +378,24 @@ def test_a_trusted_text_is_scored_as_if_it_had_not_taught(spark, docs_of):
     assert alone.target_bits == alone.background_bits == pytest.approx(math.log2(3)) and alone.score == 0
 
 
+@pytest.mark.parametrize("most", [0, 1 << 14])
+def test_every_good_row_is_trusted(spark, monkeypatch, most):
+    """However many labels there are, all of them count, by bitmaps or by a join."""
+    monkeypatch.setattr(lmscore, "MOST_BITMAPS", most)
+    ids = spark.range(-40_000, 40_000).select(F.when(F.col("id") != 3, F.col("id")).alias("doc_id"))
+    far = spark.createDataFrame([(1 << 62,), (-(1 << 62),)], "doc_id long")
+    docs = ids.unionByName(far).withColumn("text", F.lit("a b"))
+    labels = docs.where("doc_id % 3 = 0 OR doc_id % 5 = 1 OR doc_id IS NULL").select(
+        "doc_id", F.lit(1).alias("quality"), F.when(F.col("doc_id") % 5 == 1, F.lit(1)).alias("toxic")
+    )
+    labels = labels.unionByName(labels.where("doc_id % 7 = 0"))
+    got = lmscore.with_trust(docs, labels).select(
+        "trusted", F.coalesce((F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 5 != 1), F.lit(False)).alias("wanted")
+    )
+    counts = {(r.trusted, r.wanted): r["count"] for r in got.groupBy("trusted", "wanted").count().collect()}
+    assert set(counts) == {(True, True), (False, False)} and sum(counts.values()) == 80_002 and counts[True, True] > 20_000
+
+
 def test_teaching_moves_a_score_by_little(spark):
     """Good rows of the tables that taught and good rows that did not, beside bad ones."""
     folder = "/root/testdata/sf0.01"
