@@ -169,10 +169,12 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _portion(hashes, rests, docs, salts, starts) -> Iterator[pa.RecordBatch]:
-    """The rows that a task sends for the windows it holds: each distinct window once, and
+def _portion(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows that a task sends for the windows it holds, which it gives up: each distinct window once, and
     the spans of those it holds more than once. ``rest`` is 32 bits of the second hash, then 32
     bits of the text's hash; ``span`` is start, then length (0 for an undecided window)."""
+    hashes, rests, docs, salts, starts = zip(*held, strict=True)
+    held.clear()
     hashes, rests, salts, starts = (np.concatenate(x) for x in (hashes, rests, salts, starts))
     docs = pa.concat_arrays(docs)
     order = np.lexsort((rests, hashes))
@@ -240,10 +242,10 @@ def spans(docs: DataFrame, window: int, anchor: int, most_bits: int) -> DataFram
                 held.append((first, second >> np.uint64(32), docs_on, salt, w.start[on]))
                 n += len(on)
                 if n >= HELD:
-                    yield from _portion(*zip(*held, strict=True))
-                    held, n = [], 0
+                    yield from _portion(held)
+                    n = 0
         if held:
-            yield from _portion(*zip(*held, strict=True))
+            yield from _portion(held)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None

@@ -6,9 +6,11 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from instructset.llm import hashing, neardup, queries, substring
@@ -171,6 +173,29 @@ def test_repeated_rows_and_null_ids_lose_their_passages(spark, docs_of):
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "x"), (1, ""), (1, "end"), (2, "only this"), (2, "only this")]
 
 
+def test_windows_of_large_batches_take_little_memory(monkeypatch):
+    """Neither a pass nor the tables that a worker keeps grow with the batch."""
+    monkeypatch.setattr(hashing, "_powers", {})
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"word{i * j % 997}" for j in range(900)) for i in range(1000)]})
+    tracemalloc.start()
+    try:
+        for part in hashing.passes(batch):
+            w = substring.Windows(part, 35, 14)
+            w.words.runs(35, 1), w.words.runs(35, 2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert batch.nbytes > 5e6 and most < 100e6
+    assert sum(p.nbytes for p in hashing._powers.values()) < 50e6
+
+
+def test_held_windows_are_given_up():
+    n = 5
+    held = [(np.arange(n, dtype=np.uint64),) * 2 + (pa.array(range(n)), np.zeros(n, np.uint64), np.arange(n))]
+    rows = substring._portion(held)
+    assert next(rows).num_rows == n and held == []
+
+
 def test_leftmost_minimum():
     rng = np.random.default_rng(0)
     for width in (1, 2, 3, 7, 22):
