@@ -11,8 +11,9 @@ lower, the closer to the target.
 No model is held in one place, so the models grow with the corpus. Documents are dealt into portions
 by hash. A portion sends each of its distinct bigrams once, sorted and packed by range of hashes; a range adds up
 what the portions sent and sends the totals back in the order of the keys, so that keys travel once and
-a frequent bigram weighs no more than others. The words follow in the same way. What a task
-holds is one portion, or one range of all portions; their number grows with the text.
+a frequent bigram weighs no more than others. The words follow in the same way, and every portion writes to every range of
+theirs, so that each range's sums come back to all portions and no pass is needed for the vocabulary's size. What a task
+holds is one portion, or one range of all portions; their number grows with the text. The texts are dealt once.
 
 Null and empty texts have no tokens and a null score. Without a trusted document the target is the
 background and every score 0. A model that is empty without the document gives all words the same bits. Rows repeat as they come,
@@ -121,15 +122,16 @@ def _large(packed: pa.Scalar, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
 
 
-def _packed(portion: int, ranges: int, keys: np.ndarray, values: list[np.ndarray]) -> pa.Table:
-    """A row for each range that has keys: the sorted keys and the values of each."""
-    of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(keys) else np.zeros(0, np.int64)
+def _packed(portion: int, ranges: int, keys: np.ndarray, values: list[np.ndarray], every: bool = False) -> pa.Table:
+    """A row for each range that has keys, or for ``every`` range: the sorted keys and the values of each."""
+    of = (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    edges = np.searchsorted(of, np.arange(ranges + 1))
+    sent = np.arange(ranges) if every else np.flatnonzero(np.diff(edges))
     grid = np.array(values, np.uint32)
-    spans = list(zip(cut, [*cut[1:], len(keys)], strict=False))
+    spans = list(zip(edges[sent].tolist(), edges[sent + 1].tolist(), strict=True))
     columns = [
-        pa.array(np.full(len(cut), portion), pa.int64()),
-        pa.array(of[cut].astype(np.int64)),
+        pa.array(np.full(len(sent), portion), pa.int64()),
+        pa.array(sent, pa.int64()),
         pa.array([b - a for a, b in spans], pa.int64()),
         pa.array([_small(np.diff(keys[a:b], prepend=np.uint64(0)), np.uint64) for a, b in spans], pa.binary()),
         pa.array([_small(grid[:, a:b], np.uint32) for a, b in spans], pa.binary()),
@@ -141,26 +143,27 @@ _PACKED = "portion long, range long, size long, keys binary, counts binary"
 
 
 def _added(part: pa.Table, kinds: int) -> pa.Table:
-    """What each portion of a range gets back: totals for its keys in their order and, last, whether it
-    is the first with the key; and of the keys that it is the first with, number and first two totals."""
+    """What each portion of a range gets back: totals for its keys in their order; and of all the
+    range's keys, number and sums of the first two totals."""
     part = part.sort_by("portion")
     sizes = part.column("size").to_pylist()
     keys = [np.cumsum(_large(k, np.uint64, n), dtype=np.uint64) for k, n in zip(part.column("keys"), sizes, strict=True)]
     counts = [_large(c, np.uint32, n * kinds).reshape(kinds, n) for c, n in zip(part.column("counts"), sizes, strict=True)]
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
     group, head = np.cumsum(new) - 1, np.flatnonzero(new)
     every = np.concatenate(counts, axis=1).astype(np.int64)
-    out = np.empty((len(every) + 1, len(key)), np.int64)
-    for row, values in zip(out, every, strict=False):
-        row[order] = np.add.reduceat(values[order], head)[group]
-    out[-1][order] = new
+    out = np.empty((kinds, len(key)), np.int64)
+    for row, values in zip(out, every, strict=True):
+        row[order] = np.add.reduceat(values[order], head)[group] if len(head) else 0
+    sums = (len(head), int(every[0].sum()), int(every[1].sum()))
     edges = np.cumsum([0, *map(len, keys)])
     blocks = [out[:, a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     columns = [
         part.column("portion"), part.column("range"), part.column("size"), pa.array([_small(b, np.int64) for b in blocks], pa.binary()),
-        *(pa.array([int(x) for x in sums], pa.int64()) for sums in zip(*((b[-1].sum(), b[0] @ b[-1], b[1] @ b[-1]) for b in blocks), strict=True)),
+        *(pa.array([x] * len(blocks), pa.int64()) for x in sums),
     ]
     return pa.table(columns, names=["portion", "range", "size", "totals", "n", "raw", "target"])
 
@@ -203,18 +206,17 @@ def scored(docs: DataFrame) -> DataFrame:
         before = p.word[p.inner - 1]
         # How often, and how often with a word after it.
         found = [p.word, p.word[p.trusted], before, before[p.trusted[p.inner]]]
-        return _packed(key[0].as_py(), ranges, p.words, [np.bincount(f, minlength=len(p.words)) for f in found])
+        return _packed(key[0].as_py(), ranges, p.words, [np.bincount(f, minlength=len(p.words)) for f in found], every=True)
 
     word_totals = dealt.applyInArrow(words, _PACKED).groupBy("range").applyInArrow(lambda part: _added(part, 4), _ADDED)
-    # One row, known before the scores are worked out.
-    row = word_totals.agg(F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.sum("target").alias("target")).head()
-    vocabulary, all_raw, all_target = (row[c] or 0 for c in ("n", "raw", "target"))
 
     def bits(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         p = _Portion(rows)
         p.name_words()
-        pair = _unpacked(answers.filter(pc.equal(answers.column("kind"), 2)), 3)
-        word = _unpacked(answers.filter(pc.equal(answers.column("kind"), 1)), 5)
+        pair = _unpacked(answers.filter(pc.equal(answers.column("kind"), 2)), 2)
+        of_words = answers.filter(pc.equal(answers.column("kind"), 1))
+        word = _unpacked(of_words, 4)
+        vocabulary, all_raw, all_target = (pc.sum(of_words.column(c)).as_py() or 0 for c in ("n", "raw", "target"))
         n, none = p.n, p.n == 0
         mean = np.zeros((len(n), 2))
         for some, tokens, inner in p.stretches():
@@ -243,6 +245,6 @@ def scored(docs: DataFrame) -> DataFrame:
         columns = [ids, pa.array(n, pa.int64()), *(pa.array(np.round(v, 9), mask=none) for v in values)]
         return pa.table(columns, names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
 
-    kept = ["portion", "range", "size", "totals"]
+    kept = ["portion", "range", "size", "totals", "n", "raw", "target"]
     answers = word_totals.select(F.lit(1).alias("kind"), *kept).unionByName(pair_totals.select(F.lit(2).alias("kind"), *kept))
     return dealt.cogroup(answers.groupBy("portion")).applyInArrow(bits, SCORES)

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +366,34 @@ def test_lm_of_the_tables_and_of_none(spark, docs_of, folder_of):
     assert queries.QUERIES["op6_lm_score"](spark, folder_of(documents=docs_of([]), labels=none)).collect() == []
 
 
+def test_lm_counts_words_and_deals_texts_in_one_job(spark, docs_of):
+    """Only the size of the texts is asked for before the scores are; the vocabulary's size comes with the totals."""
+    rows = [(i, f"a{i % 3} b{i} c d") for i in range(50)]
+    docs = lmscore.with_trust(docs_of(rows), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    jobs = {}
+    for name, run in (("size", lambda: docs.agg(F.sum(F.octet_length("text"))).collect()), ("scored", lambda: lmscore.scored(docs))):
+        spark.sparkContext.setJobGroup(f"lm {name}", name)
+        out = run()
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lm {name}"))
+    assert jobs["scored"] == jobs["size"] > 0
+    assert out.count() == 50
+
+
+def test_every_range_of_words_answers_every_portion():
+    keys = np.array([1 << 40, 3 << 40, 7 << 60], np.uint64)
+    one = lmscore._packed(0, 4, keys, [[1, 2, 3], [0, 2, 0]], every=True)
+    two = lmscore._packed(1, 4, keys[:1], [[5], [1]], every=True)
+    none = lmscore._packed(2, 4, keys[:0], [[], []], every=True)
+    assert [t.column("range").to_pylist() for t in (one, two, none)] == [[0, 1, 2, 3]] * 3
+    assert lmscore._packed(0, 4, keys, [[1, 2, 3], [0, 2, 0]]).column("range").to_pylist() == [0, 1]
+    sent = pa.concat_tables([one, two, none])
+    sums = {p: [0, 0, 0] for p in range(3)}
+    for r in range(4):
+        for row in lmscore._added(sent.filter(pc.equal(sent.column("range"), r)), 2).to_pylist():
+            sums[row["portion"]] = [x + row[c] for x, c in zip(sums[row["portion"]], ("n", "raw", "target"))]
+    assert sums == dict.fromkeys(range(3), [3, 11, 3])
+
+
 def test_a_trusted_text_is_scored_as_if_it_had_not_taught(spark, docs_of):
     """Its score is the one it gets beside the same others without trust, and a lone text teaches itself nothing."""
     rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 30))) for i in range(20)]
