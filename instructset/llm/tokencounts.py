@@ -15,9 +15,14 @@ split where splitting can't change its tokens, so a long text fills calls as sho
 
 A text without such places (one word, or a script without spaces) is encoded whole, in a call of its own.
 
+A byte-level BPE tokenizer without a normalizer gets the texts of a call by fragments (``bpe.Encoder``): cut at pairs of bytes
+inside no token, each distinct fragment is encoded by the library once and its ids are looked up by hash afterwards, so
+words and parts of words that come again and again cost a look-up. All others get whole texts and pieces.
+
 Null and empty texts have no bytes and no tokens. Repeated rows and ids get equal counts, each row its
 own. An empty table gives an empty one. The columns that are added replace columns of
-those names; all others stay. Map only: no row moves, and a task holds one batch of texts and one call's ids.
+those names; all others stay. Map only: no row moves, and a task holds one batch of texts, one call's ids and the
+encoder's bounded cache.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from instructset.llm import bpe
 from instructset.llm.common import prepare
 
 #: Bytes of text in a call of the library, and characters in a piece of a long text.
@@ -56,6 +62,20 @@ def _kinds(part: dict | None) -> set[str]:
     return {part["type"]}.union(*map(_kinds, inner))
 
 
+def by_fragments(spec: dict) -> bool:
+    """True for byte-level BPE of the plain kind that ``bpe.Encoder`` cuts without a change of tokens."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    return (
+        model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True)
+        and not before.get("add_prefix_space")
+        and spec["normalizer"] is None
+        and not any(a[k] for a in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+    )
+
+
 class Counter:
     """Counts the tokens of texts; ``keep`` tells how many characters of a place (a letter and its
     space) stay to the left of the cut and how many are dropped, or is None where nothing is cut."""
@@ -96,11 +116,15 @@ class LibraryCounter(Counter):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_str(spec.decode())
-        whole.no_truncation()
-        whole.no_padding()
-        self.lengths = lambda texts: list(map(len, whole.encode_batch_fast(texts, add_special_tokens=False)))
         parsed = json.loads(spec)
+        if by_fragments(parsed):
+            own = bpe.encoder(spec.decode())
+            self.lengths = lambda texts: np.diff(own.encode(pa.array(texts, pa.large_string()))[1]).tolist()
+        else:
+            whole = Tokenizer.from_str(spec.decode())
+            whole.no_truncation()
+            whole.no_padding()
+            self.lengths = lambda texts: list(map(len, whole.encode_batch_fast(texts, add_special_tokens=False)))
         before = parsed["pre_tokenizer"]
         safe = (
             _kinds(parsed["normalizer"]) <= _NORMALIZERS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from instructset.llm import queries, tokencounts
+from instructset.llm import bpe, queries, tokencounts
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"]
 
@@ -59,6 +60,33 @@ def test_a_long_text_is_cut_into_balanced_pieces():
     assert len(pieces) > 9 and max(map(len, pieces)) < tokencounts.PIECE_CHARS + 40
 
 
+def test_the_library_gets_what_comes_again_once(monkeypatch):
+    with open(public_tokenizers.path(NAMES[0]), "rb") as file:
+        own = tokencounts.LibraryCounter(file.read())
+    given = []
+    fragments = bpe.Encoder.fragments
+    monkeypatch.setattr(bpe.Encoder, "fragments", lambda self, new: given.extend(new) or fragments(self, new))
+    texts = ["alpha beta, gamma! " * 500 + f"the {i}th" for i in range(20)]
+    assert own.counts(texts).tolist() == library_counts(NAMES[0], texts)
+    assert 0 < sum(map(len, given)) < 0.01 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize(
+    "change",
+    [lambda s: s["pre_tokenizer"].update(add_prefix_space=True), lambda s: s.update(normalizer={"type": "Lowercase"}),
+     lambda s: s["model"].update(ignore_merges=True), lambda s: s["added_tokens"][0].update(lstrip=True)],
+)
+def test_tokenizers_of_other_kinds_get_whole_texts(change):
+    with open(public_tokenizers.path(NAMES[0])) as file:
+        spec = json.load(file)
+    change(spec)
+    texts = ["Words and <|endoftext|> more WORDS, again and again.", " The  end", ""]
+    whole = Tokenizer.from_str(json.dumps(spec))
+    assert not tokencounts.by_fragments(spec)
+    got = tokencounts.LibraryCounter(json.dumps(spec).encode()).counts(texts)
+    assert got.tolist() == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_unknown_kinds_of_files_are_refused(docs_of):
     with pytest.raises(ValueError, match="should be a .json"):
         tokencounts.count_tokens(docs_of(["a"]), public_tokenizers.path("byte_bpe_50k.tiktoken"))
