@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass takes at most; a longer text gets a pass of its own. A pass takes some thirty
-#: times its text at once, and the powers kept between passes (six tables at most) eight times each.
+#: Bytes of text that one numpy pass takes at most; a longer text gets a pass of its own. Numpy holds many times
+#: these bytes during a pass, and the tables of powers that are kept between passes eight times each.
 PASS_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
