@@ -16,7 +16,7 @@ hash; among the fragments that a task keeps, a wrong match has a chance below on
 
 A null text counts as empty and has no ids. Repeated rows get repeated results. Memory per task is
 one pass of text, its ids, and a cache of at most ``CACHE`` fragments; a longer text than a pass
-makes one pass of its own.
+makes one pass of its own. Decoding holds the bytes of the vocabulary's tokens, and no tokenizer.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from instructset.llm.common import prepare, sliced
+from instructset.llm.common import prepare, sliced, small_scans
 from instructset.llm.hashing import HashIndex, passes, span_hashes, text_buffer, word_spans
 
 #: Fragments, and bytes of them, whose ids a task keeps before it starts its cache anew.
@@ -257,39 +257,44 @@ def encoded_passes(
             yield part, ids, edges
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids of column ``text`` as ``ids`` (array of int), in place of a column of that name.
+def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", keep: bool = True) -> DataFrame:
+    """``df`` with the ids of column ``text`` as ``ids`` (array of int), in place of a column of that name;
+    without ``keep`` the text itself goes, and is not sent back from Python.
 
     ``tokenizer`` is the path of a tokenizers file. Map only: no row moves."""
     spark = df.sparkSession
     prepare(spark)
+    small_scans(spark)
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    kept = df.drop(ids)
+    given = df.drop(ids)
+    kept = given if keep else given.drop(text)
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, flat, edges in encoded_passes(batches, spec.value, text):
-            columns = [*part.columns, sliced(flat, edges, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids])
+            columns = [*(part if keep else part.drop_columns([text])).columns, sliced(flat, edges, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded", keep: bool = True) -> DataFrame:
     """``df`` with the text of the ids (special tokens included) as ``text``; null ids give an empty text.
+    Without ``keep`` the ids themselves go, and are not sent back from Python.
 
     Bytes that aren't UTF-8, as ids cut inside a character give, become U+FFFD."""
     spark = df.sparkSession
     prepare(spark)
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    kept = df.drop(text)
+    # The bytes of all tokens in a row, and each one's size: tasks need no more of the file.
+    tokens = token_bytes(json.loads(read_spec(tokenizer)))
+    table = spark.sparkContext.broadcast((b"".join(tokens), np.fromiter(map(len, tokens), np.int32, len(tokens))))
+    given = df.drop(text)
+    kept = given if keep else given.drop(ids)
     schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_bytes(json.loads(spec.value))
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        body, sizes = np.frombuffer(table.value[0], np.uint8), table.value[1]
         at = np.cumsum(sizes) - sizes
-        body = np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, min(200, batch.num_rows - a))
@@ -300,7 +305,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
                     ends = np.cumsum(size)
                     take = np.repeat(at[row] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
                     out.append(body[take].tobytes().decode("utf-8", "replace"))
-                columns = [*part.columns, pa.array(out, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, text])
+                columns = [*(part if keep else part.drop_columns([ids])).columns, pa.array(out, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)

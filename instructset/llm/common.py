@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from instructset.session import materialize, ship_package
 
-__all__ = ["grouped_batches", "materialize", "prepare", "sliced", "table"]
+__all__ = ["grouped_batches", "materialize", "prepare", "sliced", "small_scans", "table"]
 
 #: The words of all contracts: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows that a scan of Parquet holds at a time where ``small_scans`` is called.
+SCAN_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,6 +27,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def small_scans(spark: SparkSession) -> None:
+    """Scans of Parquet that hold ``SCAN_ROWS`` texts at a time in place of 4,096: their arrays of many MB, doubled and copied as
+    they fill, make the JVM's heap grow far beyond what is live. It holds for the session; a smaller number that is set stays."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(name, str(min(int(spark.conf.get(name)), SCAN_ROWS)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

@@ -92,13 +92,13 @@ def op7_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = texts(table(spark, folder, "documents"))
-    both = bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    # JSON writes the ids into one buffer; in an array of strings each would be objects for the collector.
+    json = F.to_json("ids")
+    digest = F.sha2(json.substr(F.lit(2), F.length(json) - 2), 256)
+    encoded = bpe.encode(docs, path, keep=False)
+    digested = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
+    both = bpe.decode(digested, path, keep=False)
+    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -185,3 +186,42 @@ def test_equal_ids_have_one_order(spark, docs_of):
         assert len(got) == len(rows) and sum(r.n_tokens for r in got[:-1]) == got[-1].start
         found.add(tuple(map(tuple, got)))
     assert len(found) == 1
+
+
+def test_what_is_not_kept_is_not_sent_back(spark, docs_of):
+    """Without ``keep`` only the other columns come back from Python, in their order and as with it."""
+    path = public_tokenizers.path(FILES[0])
+    rows = [(1, "A few words. 日本", "en"), (None, None, None), (1, "A few words. 日本", "en"), (2, "", "de")]
+    docs = docs_of(rows).select("lang", "text", "doc_id")
+    encoded = bpe.encode(docs, path, keep=False)
+    assert encoded.columns == ["lang", "doc_id", "ids"]
+    want = bpe.encode(docs, path).select("lang", "doc_id", "ids").collect()
+    assert sorted(encoded.collect(), key=str) == sorted(want, key=str)
+    decoded = bpe.decode(encoded.select("ids", "lang", "doc_id"), path, keep=False)
+    assert decoded.columns == ["lang", "doc_id", "decoded"]
+    assert sorted(map(tuple, decoded.collect()), key=str) == sorted(((r[2], r[0], r[1] or "") for r in rows), key=str)
+
+
+def test_encoding_scans_few_texts_at_a_time(spark, docs_of):
+    """A scan's batch of thousands of texts makes the executor's heap grow; a smaller number that is set stays."""
+    name, path = "spark.sql.parquet.columnarReaderBatchSize", public_tokenizers.path(FILES[0])
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("4096", "256"), ("100", "100")):
+            spark.conf.set(name, given)
+            bpe.encode(docs_of(["a"]), path)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_op8_digests_of_no_one_and_many_ids(spark, docs_of, folder_of):
+    """The query's digests are of the decimal ids joined by commas, and it carries neither texts nor ids along."""
+    rows = [(1, None), (1, ""), (None, "a"), (2, "a b c 日本 <|endoftext|>"), (2, "a b c 日本 <|endoftext|>")]
+    df = queries.QUERIES["op8_bpe"](spark, folder_of(documents=docs_of(rows)))
+    ids = [(i, Tokenizer.from_file(public_tokenizers.path(FILES[0])).encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+    want = [(i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in ids]
+    assert sorted(map(str, (tuple(r)[:3] for r in df.collect()))) == sorted(map(str, want))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    decoded, encoded = re.findall(r"MapInArrow .*\[([^\]]*)\], false", plan)
+    assert "text#" not in encoded and "ids#" not in decoded
