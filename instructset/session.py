@@ -75,6 +75,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(limit))
 
 
+def file_tasks(spark: SparkSession) -> int:
+    """Tasks for work on many small files. Files, not bytes, are the work, so tasks aren't merged for holding few bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 @contextmanager
 def small_files(spark: SparkSession) -> Iterator[None]:
     """Jobs inside read thousands of small files in a task, where the usual few tens make more tasks than work."""

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from instructset import schemas
 from instructset.operators.positions import with_row_index
-from instructset.session import materialize, small_files
+from instructset.session import file_tasks, materialize, ship_package, small_files
+from instructset.sources.named_files import FOLDERS, NAMES, TEXTS, is_folder, list_files, read_files
 
 # Accepted extensions of pair files, column pairs of known datasets, and the
 # texts that a tab-separated source means as missing.
@@ -121,6 +122,16 @@ def split_of(df: DataFrame, names: Sequence[str], by_folder: bool = False) -> Co
     return F.when(found != "", found)
 
 
+def _plain_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as Arrow names it, where it is a folder that Arrow reaches and no pattern."""
+    if any(c in path for c in "*?[]{}\\"):
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toUri()
+    name = uri.getPath() if uri.getScheme() == "file" else uri.toString()
+    return name if is_folder(name) else None
+
+
 def read_split_folders(
     spark: SparkSession,
     root: str,
@@ -129,7 +140,16 @@ def read_split_folders(
     documents: bool = False,
 ) -> DataFrame:
     """``root/<split>/*`` as one table with a ``split`` column; JSON-lines, or one JSON
-    document per file."""
+    document per file. Folders of documents are listed by tasks, one for each, as the driver would hold some kilobytes
+    for each file; only patterns, and folders that Arrow doesn't reach, are listed by Spark in the driver."""
+    folders = [_plain_folder(spark, f"{root}/{name}") for name in splits] if documents else [None]
+    if all(folders):
+        ship_package(spark)
+        listed = spark.createDataFrame([*zip(splits, folders, strict=True)], FOLDERS).mapInArrow(list_files, NAMES)
+        texts = listed.repartition(file_tasks(spark), "_folder", "_name").mapInArrow(read_files, TEXTS)
+        # A document that is an array is a row for each of its elements, an empty one is none.
+        rows = F.inline(F.from_json("_text", T.ArrayType(schema), {"mode": "FAILFAST"}))
+        return texts.select("_split", rows).withColumn("split", F.col("_split")).drop("_split")
     reader = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", documents)
     df = reader.json([f"{root}/{name}" for name in splits])
     return df.withColumn("split", split_of(df, splits, by_folder=True))

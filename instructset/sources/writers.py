@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from instructset.functions.labels import conll_block
 from instructset.functions.prompts import TRAINING_SEPARATOR, training_line
 from instructset.functions.text import one_line, strip
-from instructset.session import ship_package
+from instructset.session import file_tasks, ship_package
 from instructset.sources.named_files import FORMAT, NamedFiles
 
 
@@ -41,9 +41,7 @@ def write_named_files(df: DataFrame, path: str, name_col: str = "file_name") ->
     fields = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name_col])
     value = F.to_json(fields, {"ignoreNullFields": "false"})
     rows = df.select(F.when(plain, name).otherwise(bad.cast("string")).alias("name"), value.alias("value"))
-    # Files, not bytes, are the work, so tasks aren't merged for holding few bytes.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows.repartition(tasks, "name").sortWithinPartitions("name", "value").write.format(FORMAT).mode("append").save(path)
+    rows.repartition(file_tasks(spark), "name").sortWithinPartitions("name", "value").write.format(FORMAT).mode("append").save(path)
 
 
 def write_conll(df: DataFrame, path: str, tokens: str = "tokens", by: str | None = None) -> None:

@@ -283,3 +283,46 @@ def test_many_documents_are_read_once_in_few_tasks(spark, tmp_path):
     # Each task that read has left a file of the table.
     assert len(stored.inputFiles()) <= spark.sparkContext.defaultParallelism + 1
     assert all("documents-" in f for f in stored.inputFiles())
+
+
+def test_folders_of_documents_are_listed_by_tasks(spark, tmp_path):
+    """The driver knows no file of them, however many there are, and what is read is what Spark's own reader gives."""
+    docs = {
+        "train/object.json": json.dumps({"input": "a\nb", "output": "é"}, indent=1, ensure_ascii=False).encode(),
+        "train/two.json": b'[{"input": "c"}, {"input": "d", "output": null}]',
+        "train/later lines.json": b'{"input": "first"}\n{"input": "second"}\n',
+        "train/wide.json": json.dumps({"input": "ü"}, ensure_ascii=False).encode("utf-16"),
+        "train/packed.json.gz": gzip.compress(b'{"output": "z"}'),
+        "train/empty.json": b"",
+        "train/.hidden.json": b"{",
+        "train/_SUCCESS": b"",
+        "train/deeper/x.json": b'{"input": "not in the folder"}',
+        "valid/none.json": b"{}",
+        "test/one.json": b'{"output": "1", "other": 2}',
+    }
+    for name, data in docs.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    read = readers.read_split_folders(spark, str(tmp_path), schemas.PAIR, documents=True)
+    assert not read.inputFiles()
+    found = sorted(map(tuple, read.select("split", "input", "output").collect()), key=str)
+    expected = [("a\nb", "é"), ("c", None), ("d", None), ("first", None), ("ü", None), (None, "z")]
+    assert found == sorted([("train", *x) for x in expected] + [("valid", None, None), ("test", None, "1")], key=str)
+    # A pattern is Spark's to read, by the same rules.
+    listed = readers.read_split_folders(spark, f"{tmp_path.parent}/{tmp_path.name[:-1]}?", schemas.PAIR, documents=True)
+    assert listed.inputFiles() and listed.columns == read.columns == ["input", "output", "split"]
+    assert sorted(map(tuple, listed.select("split", "input", "output").collect()), key=str) == found
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_split_folders(spark, str(tmp_path), schemas.PAIR, ("train", "dev"), documents=True)
+
+
+@pytest.mark.parametrize("name, data, error", [
+    ("x.json", b'{"input": ', "MALFORMED_RECORD"),
+    ("x.json", b'{"input": "\xff"}', "UnicodeDecodeError"),
+    ("lang=de/x.json", b"{}", "partitioned table"),
+])
+def test_folders_that_hold_no_documents_fail(spark, tmp_path, name, data, error):
+    (tmp_path / "train" / name).parent.mkdir(parents=True)
+    (tmp_path / "train" / name).write_bytes(data)
+    with pytest.raises(Exception, match=error):
+        readers.read_split_folders(spark, str(tmp_path), schemas.PAIR, ("train",), documents=True).collect()
